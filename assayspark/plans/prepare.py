@@ -15,7 +15,7 @@ from pyspark.ml.feature import (
     StringIndexer,
     VectorAssembler,
 )
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -64,6 +64,12 @@ def fit_minmax(train: DataFrame, inp: str = "raw_features", out: str = "features
     return PipelineModel([model, ElementwiseProduct(scalingVec=keep, inputCol="_minmax", outputCol=out)])
 
 
+def clip_unit(df: DataFrame, c: str = "features") -> DataFrame:
+    """Cut scaled features to [0, 1]: rows outside the training range stay valid for naive Bayes."""
+    unit = F.transform(vector_to_array(c), lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
+    return df.withColumn(c, array_to_vector(unit))
+
+
 def bits_to_vector(df: DataFrame, bits: str, n_bits: int, out: str = "features") -> DataFrame:
     """Bit positions to one sparse 0/1 vector, never to ``n_bits`` columns."""
     encoder = CountVectorizerModel.from_vocabulary([str(i) for i in range(n_bits)], "_words", out, binary=True)

@@ -142,7 +142,7 @@ def read_run_metrics(spark: SparkSession, paths: str | Sequence[str], fix_order:
         runs = reader.json(present) if present else spark.createDataFrame([], run_schema())
         if not present:
             return runs.withColumn("model", F.lit(None).cast("string"))
-    runs = runs.withColumn("model", run_name(F.col("_metadata.file_name")))
+    runs = runs.withColumn("model", run_name(F.col("_metadata.file_path")))
     if fix_order:
         shifted = {"test_loss": "accuracy", "accuracy": "precision", "precision": "recall", "recall": "f1", "f1": "test_loss"}
         runs = runs.withColumns({name: F.col(source) for name, source in shifted.items()})
@@ -163,9 +163,17 @@ def existing_paths(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     return present
 
 
-def write_run_metrics(run: DataFrame, path: str) -> None:
-    """Run documents as JSON lines, written by the tasks that hold them."""
-    run.write.mode("overwrite").json(path)
+def write_run_metrics(runs: DataFrame, path: str) -> list[str]:
+    """One ``metrics_<model>.json`` per model under ``path``; returns their paths.
+
+    The models of a study are few, and each document is one row."""
+    names = [r["model"] for r in runs.select("model").distinct().collect()]
+    paths = []
+    for name in names:
+        target = f"{path}/metrics_{name.replace('/', '_')}.json"
+        runs.where(F.col("model") == name).drop("model").coalesce(1).write.mode("overwrite").json(target)
+        paths.append(target)
+    return paths
 
 
 def write_report(report: DataFrame, path: str) -> None:

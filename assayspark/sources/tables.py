@@ -27,6 +27,15 @@ def load_tables(
     return tables
 
 
+def spread_scan(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a scan out over all cores when the files make fewer tasks than that.
+
+    For CPU-heavy work on a few small files; a large table has more file splits
+    than cores and is returned as it is, without a shuffle."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_database_tables(spark: SparkSession, url: str, names: Sequence[str], **options: str) -> dict[str, DataFrame]:
     """Tables of a relational database over JDBC; filters and columns are pushed to it."""
     reader = spark.read.format("jdbc").option("url", url).options(**options)

@@ -233,7 +233,7 @@ los AS (SELECT fold, split, {_LOSS} AS log_loss FROM ml GROUP BY ALL)"""
     f"""WITH {_ML}, {_FOLD} SELECT fold, split, round(precision, 5) AS precision, round(recall, 5) AS recall, round(f1, 5) AS f1,
   round(subset_accuracy, 5) AS subset_accuracy, round(class_avg_precision, 5) AS class_avg_precision,
   round(roc_auc, 5) AS roc_auc, round(pr_auc, 5) AS pr_auc, round(log_loss, 5) AS log_loss
-FROM prf JOIN sub USING (fold, split) JOIN rocw USING (fold, split) JOIN prw USING (fold, split) JOIN los USING (fold, split)""",
+FROM prf LEFT JOIN sub USING (fold, split) LEFT JOIN rocw USING (fold, split) LEFT JOIN prw USING (fold, split) LEFT JOIN los USING (fold, split)""",
 )
 def _(spark, sf):
     return rounded(evaluate.fold_metrics(multilabel(spark, sf)), 5)

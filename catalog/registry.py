@@ -24,10 +24,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 6, skip: tuple[str, ...] = ()) -> DataFrame:
     """Doubles rounded, so that both engines can be compared by value."""
-    doubles = {f.name: F.round(F.col(f.name), digits) for f in df.schema if f.dataType.typeName() == "double"}
-    return df.withColumns(doubles) if doubles else df
+    names = [f.name for f in df.schema if f.dataType.typeName() == "double" and f.name not in skip]
+    return df.withColumns({n: F.round(F.col(n), digits) for n in names}) if names else df
 
 
 def r6(c: Column) -> Column:
