@@ -63,8 +63,8 @@ def _(spark, sf):
     data = labelled_vectors(spark, sf)
     lr = LogisticRegression(family="multinomial")
     grid = models.random_search(lr, {"regParam": ("log", 1e-5, 3e-5), "maxIter": ("int", 3, 6)}, n=3)
-    train = ranking.stratified_folds(data.where(F.col("split") == "train"), "label", "vec_id")
-    cv = models.cross_validate(train.persist(), lr, grid, parallelism=4)
+    train = models.training_rows(ranking.stratified_folds(data.where(F.col("split") == "train"), "label", "vec_id"))
+    cv = models.cross_validate(train, lr, grid, parallelism=4)
     rows = [(i, p[lr.regParam], p[lr.maxIter], float(a)) for i, (p, a) in enumerate(zip(grid, cv.avgMetrics))]
     return rounded(spark.createDataFrame(rows, "point int, reg_param double, max_iter int, accuracy double"), 8)
 
@@ -75,8 +75,8 @@ def _(spark, sf):
     data = labelled_vectors(spark, sf)
     axes = {"regParam": [0.1, 0.001], "fitIntercept": [True, False]}
     lr, grid = models.lr_deep_grid(axes)
-    train = ranking.stratified_folds(data.where(F.col("split") == "train"), "label", "vec_id")
-    cv = models.cross_validate(train.persist(), lr, grid, parallelism=4)
+    train = models.training_rows(ranking.stratified_folds(data.where(F.col("split") == "train"), "label", "vec_id"))
+    cv = models.cross_validate(train, lr, grid, parallelism=4)
     rows = [(p[lr.regParam], p[lr.fitIntercept], float(a)) for p, a in zip(grid, cv.avgMetrics)]
     return rounded(spark.createDataFrame(rows, "reg_param double, fit_intercept boolean, accuracy double"))
 
