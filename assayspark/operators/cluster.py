@@ -19,7 +19,7 @@ GROWTH = 8
 
 
 def _members(edges: DataFrame) -> DataFrame | None:
-    """Nodes that are not leaders, for edges (id_a < id_b) among undecided nodes.
+    """Nodes that are not leaders, for written edges (id_a < id_b) among undecided nodes.
 
     A node with no earlier neighbour left leads; its later neighbours are
     members and leave the graph.  Each round decides at least the first node of
@@ -27,17 +27,20 @@ def _members(edges: DataFrame) -> DataFrame | None:
     the similarity."""
     members = None
     edges = edges.select("id_a", "id_b")
-    while not edges.isEmpty():
+    n = edges.count()
+    while n:
         degree = edges.groupBy("id_a").agg(F.count(F.lit(1)).alias("_deg"))
         later = edges.select(F.col("id_b").alias("id_a")).distinct()
         leaders = degree.join(later, "id_a", "left_anti")
-        new = cut(attach_by_key(edges, leaders, "id_a", "_deg").select(F.col("id_b").alias("id")).distinct())
+        new = attach_by_key(edges, leaders, "id_a", "_deg", left_rows=n).select(F.col("id_b").alias("id"))
+        new = cut(new.distinct())
         members = new if members is None else members.unionByName(new)
         for side in ("id_a", "id_b"):
             load = edges.groupBy(side).agg(F.count(F.lit(1)).alias("_load"))
             alive = load.join(new.withColumnRenamed("id", side), side, "left_anti")
-            edges = attach_by_key(edges, alive, side, "_load").select("id_a", "id_b")
+            edges = attach_by_key(edges, alive, side, "_load", left_rows=n).select("id_a", "id_b")
         edges = cut(edges)
+        n = edges.count()
     return members
 
 
@@ -74,7 +77,6 @@ def leader_assignments(
         members = _members(pairs)
         found = []
         if members is not None:
-            members = cut(members)
             by_leader = pairs.groupBy("id_a").agg(F.count(F.lit(1)).alias("_deg")).join(
                 members.withColumnRenamed("id", "id_a"), "id_a", "left_anti"
             )

@@ -1,21 +1,24 @@
 """Pair measures inside blocks of consecutive rows.
 
 Blocks have a fixed number of rows, so the work is rows x block size.  Pairs
-are never written out: the join's own stage reduces them to counts per
-(|A|, |B|, shared bits), from which all five measures and every later statistic
-follow exactly.
+are never written out: the join's own stage reduces them to counts, since a
+distribution over the pairs is what is wanted.  All five measures follow from
+|A|, |B| and the number of shared bits, counted on packed 64-bit words in
+generated code.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assayspark.functions.measures import SET_MEASURES, from_counts
-from assayspark.operators.quantiles import histogram, violin_summary
+from assayspark.operators.quantiles import violin_summary
 from assayspark.operators.ranking import with_block_id
 from assayspark.operators.spread import ROWS_PER_BUCKET
+from assayspark.sources.stages import cut
 
 WORD = 64
 PACKED_BITS = 16_384
@@ -26,14 +29,26 @@ def pack_bits(bits: str, n_bits: int) -> list[Column]:
     def word(k: int) -> Column:
         inside = F.filter(F.col(bits), lambda b: (b >= WORD * k) & (b < WORD * (k + 1)))
         one = F.lit(1).cast("long")
-        return F.aggregate(
+        packed = F.aggregate(
             inside, F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", one, b - WORD * k))
         )
+        # never NULL: without NULL checks the pair loop stays small enough for the JIT compiler
+        return F.coalesce(packed, F.lit(0).cast("long"))
 
     return [word(k) for k in range((n_bits + WORD - 1) // WORD)]
 
 
-def pair_counts(
+@dataclass
+class PackedBlocks:
+    """Written rows (block_id, position, s, t, w0, w1, ...): size, tile and bit words of each set."""
+
+    rows: DataFrame
+    n_bits: int
+    block_size: int
+    tile: int
+
+
+def pack_blocks(
     df: DataFrame,
     order: str,
     bits: str = "bits",
@@ -41,76 +56,129 @@ def pair_counts(
     block_size: int = 1024,
     tile: int = 128,
     rows_per_bucket: int = ROWS_PER_BUCKET,
-) -> DataFrame:
-    """(size_a, size_b, common, n) over the ordered pairs, self-pairs included, of each block.
-
-    Rows are numbered along ``order`` and cut into blocks.  A block is split
-    into tiles; each tile pair is one join key, so a block spreads over many
-    tasks and one key holds at most tile x tile pairs.  Only i < j is joined;
-    the mirrored pairs and the self-pairs are added by weight.
-    """
+) -> PackedBlocks:
+    """Number the rows along ``order``, cut them into blocks and tiles, pack their bits.
+
+    Written once; the passes over the pairs read it."""
     if n_bits > PACKED_BITS:
         raise ValueError(f"pair measures need n_bits <= {PACKED_BITS}")
-    rows = with_block_id(df.select(F.col(order).alias("_o"), F.col(bits).alias("_b")), "_o", block_size, rows_per_bucket)
-    words = pack_bits("_b", n_bits)
-    names = [f"w{k}" for k in range(len(words))]
-    tiles = (block_size + tile - 1) // tile
-    packed = rows.select(
-        "block_id",
-        "position",
-        F.size("_b").cast("long").alias("s"),
-        F.floor((F.col("position") - F.col("block_id") * block_size) / F.lit(tile)).cast("int").alias("t"),
-        *[w.alias(n) for w, n in zip(words, names)],
-    )
+    words = [w.alias(f"w{k}") for k, w in enumerate(pack_bits(bits, n_bits))]
+    # packed where the rows are, before they are sorted into blocks
+    packed = df.select(F.col(order).alias("_o"), F.size(bits).cast("long").alias("s"), *words)
+    packed = with_block_id(packed, "_o", block_size, rows_per_bucket).drop("_o")
+    in_block = F.col("position") - F.col("block_id") * block_size
+    packed = packed.withColumn("t", F.floor(in_block / F.lit(tile)).cast("int"))
+    return PackedBlocks(cut(packed), n_bits, block_size, tile)
+
+
+def pair_rows(blocks: PackedBlocks) -> DataFrame:
+    """(size_a, size_b, common, w) per pair of a block; w counts both orders, self-pairs once.
+
+    Each tile pair is one join key, so a block spreads over many tasks and one
+    key holds at most tile x tile pairs.  Only i < j is joined.  The rows are
+    meant to be aggregated by the caller in the same stage: it is cheaper to
+    form the pairs again for a second pass than to store them."""
+    packed = blocks.rows
+    names = [c for c in packed.columns if c.startswith("w")]
+    tiles = (blocks.block_size + blocks.tile - 1) // blocks.tile
     key = F.col("block_id") * (tiles * tiles) + F.col("i") * tiles + F.col("j")
     left = (
         packed.withColumn("i", F.col("t"))
         .withColumn("j", F.explode(F.sequence(F.col("t"), F.lit(tiles - 1))))
-        .select(key.alias("k"), F.col("position").alias("pa"), F.col("s").alias("sa"), *[F.col(n).alias(f"a_{n}") for n in names])
+        .select(key.alias("ka"), F.col("position").alias("pa"), F.col("s").alias("sa"), *[F.col(n).alias(f"a_{n}") for n in names])
     )
     right = (
         packed.withColumn("j", F.col("t"))
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("t"))))
-        .select(key.alias("k2"), F.col("position").alias("pb"), F.col("s").alias("sb"), *[F.col(n).alias(f"b_{n}") for n in names])
+        .select(key.alias("kb"), F.col("position").alias("pb"), F.col("s").alias("sb"), *[F.col(n).alias(f"b_{n}") for n in names])
     )
     common = reduce(
         lambda x, y: x + y, [F.bit_count(F.col(f"a_{n}").bitwiseAND(F.col(f"b_{n}"))) for n in names]
     ).cast("long")
-    joined = left.join(right, (F.col("k") == F.col("k2")) & (F.col("pa") < F.col("pb")))
-    pairs = joined.select(
-        F.least("sa", "sb").alias("size_a"), F.greatest("sa", "sb").alias("size_b"), common.alias("common"), F.lit(2).alias("w")
+    # small rows, much work per row: shuffled by tile pair even where one side could be broadcast
+    pairs = left.join(right.hint("merge"), (F.col("ka") == F.col("kb")) & (F.col("pa") < F.col("pb"))).select(
+        F.col("sa").alias("size_a"), F.col("sb").alias("size_b"), common.alias("common"), F.lit(2).cast("long").alias("w")
     )
-    own = rows.select(F.size("_b").cast("long").alias("s")).select(
-        F.col("s").alias("size_a"), F.col("s").alias("size_b"), F.col("s").alias("common"), F.lit(1).alias("w")
+    own = packed.select(
+        F.col("s").alias("size_a"), F.col("s").alias("size_b"), F.col("s").alias("common"), F.lit(1).cast("long").alias("w")
     )
-    grouped = [p.groupBy("size_a", "size_b", "common").agg(F.sum("w").alias("n")) for p in (pairs, own)]
-    return grouped[0].unionByName(grouped[1])
+    return pairs.unionByName(own)
+
+
+def pair_counts(blocks: PackedBlocks) -> DataFrame:
+    """(size_a, size_b, common, n) with size_a <= size_b over all ordered pairs."""
+    a, b = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+    return pair_rows(blocks).groupBy(a.alias("size_a"), b.alias("size_b"), "common").agg(F.sum("w").alias("n"))
 
 
 def pair_metrics(counts: DataFrame, n_bits: int = 2048) -> DataFrame:
-    """The five measures beside the pair counts, all in one projection."""
+    """The five measures beside the sizes, all in one projection."""
     a, b, c = F.col("size_a"), F.col("size_b"), F.col("common")
     return counts.select("*", *[from_counts(m, a, b, c, n_bits).alias(m) for m in SET_MEASURES])
 
 
-def pair_long(metrics: DataFrame) -> DataFrame:
-    """(metric, value, n) rows."""
-    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in SET_MEASURES])
-    return metrics.select(F.explode(cells).alias("_m"), "n").select("_m.metric", "_m.value", "n")
-
-
-def pair_histograms(metrics: DataFrame, bins: int = 50) -> DataFrame:
-    """A histogram per measure over all pairs."""
-    return histogram(pair_long(metrics), "value", bins, ["metric"], weight="n")
+def pair_histograms(blocks: PackedBlocks, bins: int = 50) -> DataFrame:
+    """A histogram per measure over all pairs: rows (metric, bin, lo, hi, n).
+
+    Two passes over the pairs, one for the ranges and one for the bins; only
+    per-task counts leave the join stage."""
+    pairs = pair_metrics(pair_rows(blocks), blocks.n_bits)
+    ends = pairs.agg(*[f(m).alias(f"{p}_{m}") for m in SET_MEASURES for p, f in (("lo", F.min), ("hi", F.max))]).first()
+    ranges = {}
+    for m in SET_MEASURES:
+        lo, hi = ends[f"lo_{m}"], ends[f"hi_{m}"]
+        if lo is not None:
+            ranges[m] = (lo - 0.5, hi + 0.5) if lo == hi else (lo, hi)
+    cells = []
+    for m, (lo, hi) in ranges.items():
+        number = F.least(F.floor((F.col(m) - F.lit(lo)) / F.lit(hi - lo) * bins), F.lit(bins - 1)).cast("int")
+        cells.append(F.struct(F.lit(m).alias("metric"), number.alias("bin")))
+    schema = "metric string, bin int, lo double, hi double"
+    frame = [
+        (m, k, lo + k * ((hi - lo) / bins), lo + (k + 1) * ((hi - lo) / bins))
+        for m, (lo, hi) in ranges.items()
+        for k in range(bins)
+    ]
+    empty = blocks.rows.sparkSession.createDataFrame(frame, schema)  # measures x bins rows
+    if not cells:
+        return empty.withColumn("n", F.lit(0).cast("long"))
+    counts = (
+        pairs.select(F.explode(F.array(*cells)).alias("_c"), "w")
+        .where(F.col("_c.bin").isNotNull())
+        .groupBy("_c.metric", "_c.bin")
+        .agg(F.sum("w").alias("n"))
+    )
+    return F.broadcast(empty).join(counts, ["metric", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def pair_values(blocks: PackedBlocks) -> DataFrame:
+    """(metric, value, n): how often each value of each measure occurs.
+
+    Four measures depend on the pair only through |A| + |B| and the shared
+    bits, and the cosine through |A| * |B|; the pairs are counted by these, so
+    the tables stay bounded by the bit space, not by the number of pairs."""
+    rows = pair_rows(blocks)
+    by_sum = rows.groupBy((F.col("size_a") + F.col("size_b")).alias("_s"), "common").agg(F.sum("w").alias("n"))
+    by_product = rows.groupBy((F.col("size_a") * F.col("size_b")).alias("_p"), "common").agg(F.sum("w").alias("n"))
+    zero = F.lit(0).cast("long")
+    linear = [
+        F.struct(F.lit(m).alias("metric"), from_counts(m, F.col("_s"), zero, F.col("common"), blocks.n_bits).alias("value"))
+        for m in ("tanimoto", "dice", "hamming", "manhattan")
+    ]
+    cosine = from_counts("cosine", F.col("_p"), F.lit(1).cast("long"), F.col("common"))
+    stacked = (
+        by_sum.select(F.explode(F.array(*linear)).alias("_m"), "n")
+        .select("_m.metric", "_m.value", "n")
+        .unionByName(by_product.select(F.lit("cosine").alias("metric"), cosine.alias("value"), "n"))
+    )
+    return stacked.where(F.col("value").isNotNull()).groupBy("metric", "value").agg(F.sum("n").alias("n"))
 
 
-def pair_violins(metrics: DataFrame, bins: int = 30) -> DataFrame:
+def pair_violins(blocks: PackedBlocks, bins: int = 30) -> DataFrame:
     """Quartiles and binned density per measure; the two distances are rescaled to [0, 1] first."""
-    ends = metrics.agg(*[f(m).alias(f"{p}_{m}") for m in ("hamming", "manhattan") for p, f in (("lo", F.min), ("hi", F.max))])
-    low_high = ends.first()  # one row of four numbers
-    scaled = metrics
-    for m in ("hamming", "manhattan"):
-        lo, hi = low_high[f"lo_{m}"], low_high[f"hi_{m}"]
-        value = (F.col(m) - F.lit(lo)) / F.lit(hi - lo) if lo is not None and hi > lo else F.lit(None).cast("double")
-        scaled = scaled.withColumn(m, value)
-    return violin_summary(pair_long(scaled), "value", ["metric"], bins, "n")
+    values = cut(pair_values(blocks))
+    ends = values.groupBy("metric").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))  # five rows
+    spread = F.when(F.col("_hi") > F.col("_lo"), (F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
+    scaled = F.when(F.col("metric").isin("hamming", "manhattan"), spread).otherwise(F.col("value"))
+    rescaled = values.join(F.broadcast(ends), "metric").select("metric", scaled.alias("value"), "n")
+    return violin_summary(rescaled, "value", ["metric"], bins, "n")

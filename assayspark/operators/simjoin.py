@@ -12,8 +12,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from assayspark.functions.measures import similarity
 from assayspark.operators.spread import attach_by_key
 from assayspark.sources.stages import cut
 
@@ -39,7 +40,7 @@ def copy_groups(df: DataFrame, id: str, bits: str = "bits", sets: DataFrame | No
 
 @dataclass
 class PrefixIndex:
-    """Written stages of one join: ``sets`` (rep, size, elements) and ``prefix`` postings."""
+    """``sets`` (rep, bits) and the written ``prefix`` postings of one join."""
 
     sets: DataFrame
     prefix: DataFrame
@@ -49,28 +50,32 @@ class PrefixIndex:
 def prefix_index(sets: DataFrame, threshold: float) -> PrefixIndex:
     """Order each set by element frequency and list its prefix elements.
 
-    Elements that occur in one set only cannot join and are left out of the
-    postings.  Empty sets have no elements; the one distinct empty set is equal
-    only to its own copies."""
+    ``sets`` is read several times and should be a written stage.  An element of
+    one set only cannot join: such elements fill the first places of a set's
+    order, so their number is enough, and only shared elements are carried on.
+    Empty sets have no elements; the one distinct empty set is equal only to its
+    own copies."""
     if not 0.0 < threshold <= 1.0:
         raise ValueError("threshold must be in (0, 1]")
-    elements = sets.select("rep", F.explode("bits").alias("element"))
+    elements = sets.select("rep", F.size("bits").alias("size"), F.explode("bits").alias("element"))
     frequency = elements.groupBy("element").agg(F.count(F.lit(1)).alias("freq"))
-    counted = attach_by_key(elements, frequency, "element", "freq")
-    # as long as the set itself, whatever the data size
-    ordered = cut(
-        counted.groupBy("rep")
-        .agg(F.array_sort(F.collect_list(F.struct("freq", "element"))).alias("ordered"))
-        .select("rep", F.size("ordered").alias("size"), "ordered")
-    )
+    shared = attach_by_key(elements, cut(frequency.where(F.col("freq") > 1)), "element", "freq")
+    # at most as long as the set itself, whatever the data size
+    ordered = shared.groupBy("rep", "size").agg(F.array_sort(F.collect_list(F.struct("freq", "element"))).alias("_o"))
+    single = F.col("size") - F.size("_o")
     length = F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - F.lit(EPS)).cast("int") + 1
-    prefix = cut(
-        ordered.select("rep", "size", F.posexplode(F.slice("ordered", F.lit(1), length)).alias("pos", "_e"))
-        .where(F.col("_e.freq") > 1)
-        .select(F.col("_e.element").alias("element"), F.col("_e.freq").alias("freq"), "rep", "size", "pos")
+    ordered = ordered.select("rep", "size", "_o", single.alias("_single"), (length - single).alias("_take"))
+    postings = ordered.where(F.col("_take") > 0).select(
+        "rep", "size", "_single", F.posexplode(F.slice("_o", F.lit(1), F.col("_take"))).alias("_at", "_e")
+    )
+    prefix = postings.select(
+        F.col("_e.element").alias("element"),
+        F.col("_e.freq").alias("freq"),
+        "rep",
+        "size",
+        (F.col("_single") + F.col("_at")).alias("pos"),
     )
-    elements_only = ordered.select("rep", "size", F.col("ordered.element").alias("elements"))
-    return PrefixIndex(elements_only, prefix, threshold)
+    return PrefixIndex(sets.select("rep", "bits"), cut(prefix), threshold)
 
 
 def _candidates(left: DataFrame, right: DataFrame, t: float, postings_per_task: int) -> DataFrame:
@@ -111,15 +116,15 @@ def _candidates(left: DataFrame, right: DataFrame, t: float, postings_per_task:
 def _verified(candidates: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     """(id_a, id_b, similarity) of the candidates that reach the threshold."""
     found = cut(candidates)
+    n = found.count()
 
-    def with_elements(rows: DataFrame, key: str) -> DataFrame:
+    def with_bits(rows: DataFrame, key: str) -> DataFrame:
         load = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_load"))
-        side = sets.select(F.col("rep").alias(key), F.col("elements").alias(f"e_{key}"))
-        return attach_by_key(rows, load.join(side, key), key, "_load").drop("_load")
+        side = sets.select(F.col("rep").alias(key), F.col("bits").alias(f"bits_{key}"))
+        return attach_by_key(rows, load.join(side, key), key, "_load", left_rows=n).drop("_load")
 
-    both = with_elements(with_elements(found, "a"), "b")
-    common = F.size(F.array_intersect("e_a", "e_b"))
-    score: Column = common / (F.size("e_a") + F.size("e_b") - common)
+    both = with_bits(with_bits(found, "a"), "b")
+    score = similarity(F.col("bits_a"), F.col("bits_b"), "tanimoto")
     return (
         both.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), score.alias("similarity"))
         .where(F.col("similarity") >= F.lit(t))

@@ -46,6 +46,7 @@ def attach_by_key(
     rows: str,
     how: str = "inner",
     rows_per_task: int = ROWS_PER_BUCKET,
+    left_rows: int | None = None,
 ) -> DataFrame:
     """Join ``left`` to ``per_key`` (one row per ``key``) without a hot task.
 
@@ -54,7 +55,10 @@ def attach_by_key(
     ``ceil(rows / rows_per_task)`` salted pieces on both sides.  There are at
     most total/rows_per_task such keys, so their list grows a million times
     slower than the data; its size is still checked before it is broadcast.
+    A known ``left_rows`` within one task's share saves the search for hot keys.
     """
+    if left_rows is not None and left_rows <= rows_per_task:
+        return left.join(per_key, key, how)
     salts = F.ceil(F.col(rows) / F.lit(rows_per_task)).cast("int")
     hot = per_key.where(F.col(rows) > rows_per_task).select(F.col(key).alias("_hot_key"), salts.alias("_salts"))
     hot_rows = hot.limit(BROADCAST_ROWS + 1).collect()

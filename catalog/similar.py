@@ -109,9 +109,8 @@ v AS (SELECT least(a, b) AS size_a, greatest(a, b) AS size_b, c AS common, count
 _LONG = "l AS (SELECT metric, value, sum(n) AS n FROM (UNPIVOT (SELECT tanimoto, dice, cosine, hamming, manhattan, n FROM v) ON tanimoto, dice, cosine, hamming, manhattan INTO NAME metric VALUE value) GROUP BY ALL)"
 
 
-def _counted(spark, sf):
-    # used by several passes: written once
-    return cut(pairs.pair_counts(doc_bits(spark, sf), "doc_id"))
+def _blocks(spark, sf):
+    return pairs.pack_blocks(doc_bits(spark, sf), "doc_id")
 
 
 @query(
@@ -121,9 +120,8 @@ def _counted(spark, sf):
   any_value(manhattan) AS manhattan FROM v GROUP BY ALL""",
 )
 def _(spark, sf):
-    out = pairs.pair_metrics(_counted(spark, sf))
-    keys = ["size_a", "size_b", "common", *SET_MEASURES]
-    return out.groupBy(*keys).agg(F.sum("n").alias("n"))
+    out = pairs.pair_metrics(pairs.pair_counts(_blocks(spark, sf)))
+    return out
 
 
 @query(
@@ -135,7 +133,7 @@ SELECT r.metric, g.bin, round(a + g.bin * ((b - a) / 50), 6) AS lo, round(a + (g
 FROM r CROSS JOIN (SELECT unnest(range(50))::INT AS bin) g LEFT JOIN h ON h.metric = r.metric AND h.bin = g.bin""",
 )
 def _(spark, sf):
-    return rounded(pairs.pair_histograms(pairs.pair_metrics(_counted(spark, sf))))
+    return rounded(pairs.pair_histograms(_blocks(spark, sf)))
 
 
 @query(
@@ -162,7 +160,7 @@ FROM r JOIN q USING (metric) CROSS JOIN (SELECT unnest(range(30))::INT AS bin) g
 LEFT JOIN h ON h.metric = r.metric AND h.bin = g.bin""",
 )
 def _(spark, sf):
-    return rounded(pairs.pair_violins(pairs.pair_metrics(_counted(spark, sf))))
+    return rounded(pairs.pair_violins(_blocks(spark, sf)))
 
 
 def _sim_sql(bits: str) -> str:
