@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assayspark.functions.columns import finite
 from assayspark.operators.spread import ROWS_PER_BUCKET, checked_broadcast, running_totals
+from assayspark.sources.stages import cut
 
 DIRECT_ROWS = 1_000_000
 
@@ -48,7 +49,8 @@ def exact_quantiles(
         at = F.explode(F.arrays_zip(prob_array.alias("prob"), F.col("_q").alias("value"))).alias("_r")
         return found.select(*by, at).select(*by, "_r.prob", "_r.value")
 
-    distinct = rows.groupBy(*by, "_v").agg(F.sum("_w").alias("_n"))
+    # read by several passes: written once
+    distinct = cut(rows.groupBy(*by, "_v").agg(F.sum("_w").alias("_n")))
     ranked = running_totals(
         distinct, ["_v"], {"_upto": F.col("_n")}, by, rows_per_bucket=rows_per_bucket, with_total=True
     )

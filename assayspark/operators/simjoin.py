@@ -4,15 +4,22 @@ Prefix filtering (Bayardo et al. 2007; Xiao et al. 2008): with the elements of
 every set in one global order, rare elements first, two sets of sizes a and b
 with Tanimoto >= t share an element among the first a - ceil(t*a) + 1 of the
 one and the first b - ceil(t*b) + 1 of the other.  Joining on these elements
-finds every pair; length and position bounds drop most of the rest, and the
+finds every pair; length and position bounds drop most of the rest.  So does a
+bitmap bound (Sandes et al. 2020): folding sets to a few words by parity never
+makes them differ more, so two words that differ too much rule a pair out.  The
 remaining candidates are compared in full.
+
+The number of candidates depends on how rare the rarest elements are.  Sets
+folded into few bits share most of them; a wide bit space (2**30) keeps the
+elements of long texts apart and the join close to linear.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from assayspark.functions.measures import similarity
 from assayspark.operators.spread import attach_by_key
@@ -20,6 +27,7 @@ from assayspark.sources.stages import cut
 
 EPS = 1e-9
 POSTINGS_PER_TASK = 20_000
+SIGNATURE = [f"x{k}" for k in range(8)]
 
 
 def distinct_sets(df: DataFrame, id: str, bits: str = "bits") -> DataFrame:
@@ -47,6 +55,20 @@ class PrefixIndex:
     threshold: float
 
 
+def parity_words(bits: str) -> list[Column]:
+    """Eight 64-bit words; bit i is the parity of the elements that are i modulo 512."""
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def word(k: int) -> Column:
+        inside = F.filter(F.col(bits), lambda b: F.pmod(F.floor(b / 64), F.lit(len(SIGNATURE))) == k)
+        shift = F.aggregate(
+            inside, zero, lambda acc, b: acc.bitwiseXOR(F.call_function("shiftleft", one, F.pmod(b, F.lit(64)).cast("int")))
+        )
+        return F.coalesce(shift, zero)
+
+    return [word(k) for k in range(len(SIGNATURE))]
+
+
 def prefix_index(sets: DataFrame, threshold: float) -> PrefixIndex:
     """Order each set by element frequency and list its prefix elements.
 
@@ -59,14 +81,17 @@ def prefix_index(sets: DataFrame, threshold: float) -> PrefixIndex:
         raise ValueError("threshold must be in (0, 1]")
     elements = sets.select("rep", F.size("bits").alias("size"), F.explode("bits").alias("element"))
     frequency = elements.groupBy("element").agg(F.count(F.lit(1)).alias("freq"))
+    signed = sets.select("rep", *[w.alias(n) for n, w in zip(SIGNATURE, parity_words("bits"))])
     shared = attach_by_key(elements, cut(frequency.where(F.col("freq") > 1)), "element", "freq")
     # at most as long as the set itself, whatever the data size
-    ordered = shared.groupBy("rep", "size").agg(F.array_sort(F.collect_list(F.struct("freq", "element"))).alias("_o"))
+    ordered = shared.groupBy("rep").agg(
+        F.max("size").alias("size"), F.array_sort(F.collect_list(F.struct("freq", "element"))).alias("_o")
+    )
     single = F.col("size") - F.size("_o")
     length = F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - F.lit(EPS)).cast("int") + 1
     ordered = ordered.select("rep", "size", "_o", single.alias("_single"), (length - single).alias("_take"))
-    postings = ordered.where(F.col("_take") > 0).select(
-        "rep", "size", "_single", F.posexplode(F.slice("_o", F.lit(1), F.col("_take"))).alias("_at", "_e")
+    postings = ordered.where(F.col("_take") > 0).join(signed, "rep").select(
+        "rep", "size", "_single", *SIGNATURE, F.posexplode(F.slice("_o", F.lit(1), F.col("_take"))).alias("_at", "_e")
     )
     prefix = postings.select(
         F.col("_e.element").alias("element"),
@@ -74,6 +99,7 @@ def prefix_index(sets: DataFrame, threshold: float) -> PrefixIndex:
         "rep",
         "size",
         (F.col("_single") + F.col("_at")).alias("pos"),
+        *SIGNATURE,
     )
     return PrefixIndex(sets.select("rep", "bits"), cut(prefix), threshold)
 
@@ -91,6 +117,7 @@ def _candidates(left: DataFrame, right: DataFrame, t: float, postings_per_task:
         F.col("rep").alias("a"),
         F.col("size").alias("na"),
         F.col("pos").alias("pa"),
+        *[F.col(n).alias(f"a_{n}") for n in SIGNATURE],
     )
     b = right.select(
         F.col("element").alias("eb"),
@@ -98,9 +125,13 @@ def _candidates(left: DataFrame, right: DataFrame, t: float, postings_per_task:
         F.col("rep").alias("b"),
         F.col("size").alias("nb"),
         F.col("pos").alias("pb"),
+        *[F.col(n).alias(f"b_{n}") for n in SIGNATURE],
     )
     na, nb = F.col("na"), F.col("nb")
     needed = F.ceil((na + nb) * F.lit(t / (1.0 + t)) - F.lit(EPS))
+    differing = reduce(
+        lambda x, y: x + y, [F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in SIGNATURE]
+    )
     reachable = F.least(na - F.col("pa"), nb - F.col("pb"))
     on = (
         (F.col("ea") == F.col("eb"))
@@ -109,6 +140,7 @@ def _candidates(left: DataFrame, right: DataFrame, t: float, postings_per_task:
         & (nb >= na * F.lit(t) - F.lit(EPS))
         & (na >= nb * F.lit(t) - F.lit(EPS))
         & (reachable >= needed)
+        & (differing <= (na + nb) * F.lit((1.0 - t) / (1.0 + t)) + F.lit(EPS))
     )
     return a.join(b, on).select("a", "b").distinct()
 

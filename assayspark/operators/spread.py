@@ -20,7 +20,9 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BROADCAST_ROWS = 100_000
-ROWS_PER_BUCKET = 1_000_000
+ROWS_PER_TASK = 1_000_000
+ROWS_PER_BUCKET = 250_000
+MAX_BUCKETS = 10_000
 
 
 def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -45,7 +47,7 @@ def attach_by_key(
     key: str,
     rows: str,
     how: str = "inner",
-    rows_per_task: int = ROWS_PER_BUCKET,
+    rows_per_task: int = ROWS_PER_TASK,
     left_rows: int | None = None,
 ) -> DataFrame:
     """Join ``left`` to ``per_key`` (one row per ``key``) without a hot task.
@@ -84,15 +86,17 @@ def bucket_by_range(
 
     The bounds come from a quantile sketch and are only a way to cut the work:
     any bounds give the same ranks.  They are fixed before the query runs, so a
-    task that is run again after a lost executor sees the same buckets.
+    task that is run again after a lost executor sees the same buckets.  Their
+    number is limited, since the bounds are held by the driver; beyond the limit
+    the buckets grow and a task sorts more rows.
     """
     n = df.count()
-    buckets = max(1, math.ceil(n / rows_per_bucket))
+    buckets = min(MAX_BUCKETS, max(1, math.ceil(n / rows_per_bucket)))
     if buckets == 1:
         return df.withColumn(name, F.lit(0)), 1
     as_double = df.select(F.col(order).cast("double").alias("_cut_at"))
     probs = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(as_double.approxQuantile("_cut_at", probs, min(0.25 / buckets, 0.01))))
+    bounds = sorted(set(as_double.approxQuantile("_cut_at", probs, min(max(0.25 / buckets, 1e-4), 0.01))))
     splits = [-math.inf, *bounds, math.inf]
     cut = Bucketizer(splits=splits, inputCol="_cut_at", outputCol=name, handleInvalid="keep")
     out = cut.transform(df.withColumn("_cut_at", F.col(order).cast("double"))).drop("_cut_at")
@@ -104,7 +108,7 @@ def bucket_by_hash_prefix(
 ) -> tuple[DataFrame, int]:
     """As `bucket_by_range` for a hexadecimal digest: its leading digits are already even ranges."""
     n = df.count()
-    digits = max(0, math.ceil(math.log(max(n / rows_per_bucket, 1.0), 16) - 1e-9))
+    digits = min(6, max(0, math.ceil(math.log(max(n / rows_per_bucket, 1.0), 16) - 1e-9)))
     if digits == 0:
         return df.withColumn(name, F.lit(0)), 1
     return df.withColumn(name, F.conv(F.substring(F.col(order), 1, digits), 16, 10).cast("int")), 16**digits

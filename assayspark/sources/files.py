@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from assayspark.functions.columns import run_name
-from assayspark.operators.spread import ROWS_PER_BUCKET, attach_by_key
+from assayspark.operators.spread import ROWS_PER_TASK, attach_by_key
 
 
 def read_tsv(
@@ -58,7 +58,7 @@ def read_confusion(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_clusters(members: DataFrame, path: str, cluster: str = "cluster_id", order: str = "weight",
-                   rows_per_task: int = ROWS_PER_BUCKET) -> None:
+                   rows_per_task: int = ROWS_PER_TASK) -> None:
     """One folder per cluster, rows sorted by ``order`` inside each file.
 
     A cluster goes to one file unless it has more than ``rows_per_task`` rows;
