@@ -132,7 +132,8 @@ def pair_histograms(blocks: PackedBlocks, bins: int = 50) -> DataFrame:
     cells = []
     for m, (lo, hi) in ranges.items():
         number = F.least(F.floor((F.col(m) - F.lit(lo)) / F.lit(hi - lo) * bins), F.lit(bins - 1)).cast("int")
-        cells.append(F.struct(F.lit(m).alias("metric"), number.alias("bin")))
+        # least() skips NULLs, so an undefined measure is sorted out by name
+        cells.append(F.struct(F.lit(m).alias("metric"), F.when(F.col(m).isNotNull(), number).alias("bin")))
     schema = "metric string, bin int, lo double, hi double"
     frame = [
         (m, k, lo + k * ((hi - lo) / bins), lo + (k + 1) * ((hi - lo) / bins))

@@ -141,7 +141,11 @@ def running_totals(
     local = df.withColumns({n: F.sum(f"_add_{n}").over(within) for n in sums})
     extra = [f"{n}_total" for n in sums] if with_total else []
     drop = [f"_add_{n}" for n in sums] + ["_bucket"]
-    if buckets == 1 and not with_total:
+    if buckets == 1:
+        # at most one bucket of rows in all: the group's total is in the same sort
+        if with_total:
+            group_rows = Window.partitionBy(*group, "_bucket")
+            local = local.withColumns({f"{n}_total": F.sum(f"_add_{n}").over(group_rows) for n in sums})
         return local.drop(*drop)
 
     keys = [*group, "_bucket"]

@@ -57,13 +57,18 @@ def read_confusion(spark: SparkSession, path: str) -> DataFrame:
     return long.select("label", F.regexp_extract("prediction", r"p_(.+)", 1).cast("double").alias("prediction"), "n")
 
 
-def write_clusters(members: DataFrame, path: str, cluster: str = "cluster_id", order: str = "weight",
-                   rows_per_task: int = ROWS_PER_TASK) -> None:
+def write_clusters(
+    members: DataFrame,
+    path: str,
+    cluster: str = "cluster_id",
+    order: str = "weight",
+    rows_per_task: int = ROWS_PER_TASK,
+) -> None:
     """One folder per cluster, rows sorted by ``order`` inside each file.
 
     A cluster goes to one file unless it has more than ``rows_per_task`` rows;
-    a larger one is written by several tasks into its folder, as consecutive
-    ranges of a hash, so no task holds a whole hot cluster."""
+    a larger one is dealt out by hash to several tasks, each of which writes a
+    sorted file into its folder, so no task holds a whole hot cluster."""
     sizes = members.groupBy(cluster).agg(F.count(F.lit(1)).alias("_size"))
     spread = attach_by_key(members, sizes, cluster, "_size", rows_per_task=rows_per_task)
     pieces = F.greatest(F.ceil(F.col("_size") / F.lit(rows_per_task)), F.lit(1))
@@ -71,7 +76,7 @@ def write_clusters(members: DataFrame, path: str, cluster: str = "cluster_id", o
     (
         spread.withColumn("_piece", piece)
         .repartition(F.col(cluster), F.col("_piece"))
-        .sortWithinPartitions(cluster, "_piece", order)
+        .sortWithinPartitions(cluster, order)
         .drop("_piece", "_size")
         .write.mode("overwrite")
         .partitionBy(cluster)
