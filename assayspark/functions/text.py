@@ -41,8 +41,9 @@ def shingles(c: str | Column, k: int = 3, unit: str = "word") -> Column:
         raise ValueError("unit must be 'word' or 'char'")
 
     def cut(u: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(u) - F.lit(k - 1), F.lit(1)))
-        runs = F.transform(starts, lambda i: F.array_join(F.slice(u, i, F.lit(k)), glue))
+        starts = F.sequence(F.lit(0), F.greatest(F.size(u) - F.lit(k), F.lit(0)))
+        # positions past the end are NULL and left out, so a short text is one run
+        runs = F.transform(starts, lambda i: F.concat_ws(glue, *[F.get(u, i + j) for j in range(k)]))
         return F.when(F.size(u) > 0, runs).otherwise(F.array().cast("array<string>"))
 
     return bind(units, cut)
@@ -66,7 +67,7 @@ def fingerprint_expr(
     if not 0 < n_bits <= 2**31 - 1:
         raise ValueError("n_bits must fit an int")
     bits = F.transform(shingles(c, k, unit), lambda s: hash_bit(s, n_bits, method))
-    return F.coalesce(F.array_sort(F.array_distinct(bits)), F.array().cast("array<int>"))
+    return F.coalesce(F.sort_array(F.array_distinct(bits)), F.array().cast("array<int>"))
 
 
 def pattern_count(c: str | Column, pattern: str) -> Column:

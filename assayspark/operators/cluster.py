@@ -14,7 +14,7 @@ from assayspark.operators.simjoin import copy_groups, distinct_sets, join_postin
 from assayspark.operators.spread import attach_by_key
 from assayspark.sources.stages import cut
 
-FIRST_CHUNK = 4096
+FIRST_CHUNK = 16_384
 GROWTH = 8
 
 

@@ -21,21 +21,34 @@ from assayspark.operators.spread import ROWS_PER_BUCKET
 from assayspark.sources.stages import cut
 
 WORD = 64
+GROUP = 6
 PACKED_BITS = 16_384
 
 
-def pack_bits(bits: str, n_bits: int) -> list[Column]:
-    """A bit set as 64-bit words, one column each, for bit counting in generated code."""
+def pack_bits(df: DataFrame, bits: str, n_bits: int) -> DataFrame:
+    """Replace a bit set by 64-bit words ``w0, w1, ...``, one column each.
+
+    The set is first cut into runs of GROUP words, then each run into its words,
+    so an element is looked at by a few expressions and not by all of them."""
+    words = (n_bits + WORD - 1) // WORD
+    groups = range((words + GROUP - 1) // GROUP)
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def between(values: Column, low: int, high: int) -> Column:
+        return F.filter(values, lambda b: (b >= low) & (b < high))
+
     def word(k: int) -> Column:
-        inside = F.filter(F.col(bits), lambda b: (b >= WORD * k) & (b < WORD * (k + 1)))
-        one = F.lit(1).cast("long")
+        inside = between(F.col(f"_g{k // GROUP}"), WORD * k, WORD * (k + 1))
         packed = F.aggregate(
-            inside, F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", one, b - WORD * k))
+            inside, zero, lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", one, b - WORD * k))
         )
         # never NULL: without NULL checks the pair loop stays small enough for the JIT compiler
-        return F.coalesce(packed, F.lit(0).cast("long"))
+        return F.coalesce(packed, zero)
 
-    return [word(k) for k in range((n_bits + WORD - 1) // WORD)]
+    span = WORD * GROUP
+    others = [c for c in df.columns if c != bits]
+    grouped = df.select(*others, *[between(F.col(bits), span * g, span * (g + 1)).alias(f"_g{g}") for g in groups])
+    return grouped.select(*others, *[word(k).alias(f"w{k}") for k in range(words)])
 
 
 @dataclass
@@ -62,9 +75,9 @@ def pack_blocks(
     Written once; the passes over the pairs read it."""
     if n_bits > PACKED_BITS:
         raise ValueError(f"pair measures need n_bits <= {PACKED_BITS}")
-    words = [w.alias(f"w{k}") for k, w in enumerate(pack_bits(bits, n_bits))]
     # packed where the rows are, before they are sorted into blocks
-    packed = df.select(F.col(order).alias("_o"), F.size(bits).cast("long").alias("s"), *words)
+    rows = df.select(F.col(order).alias("_o"), F.size(bits).cast("long").alias("s"), F.col(bits).alias("_bits"))
+    packed = pack_bits(rows, "_bits", n_bits)
     packed = with_block_id(packed, "_o", block_size, rows_per_bucket).drop("_o")
     in_block = F.col("position") - F.col("block_id") * block_size
     packed = packed.withColumn("t", F.floor(in_block / F.lit(tile)).cast("int"))

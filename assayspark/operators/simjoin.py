@@ -60,11 +60,11 @@ def parity_words(bits: str) -> list[Column]:
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
 
     def word(k: int) -> Column:
-        inside = F.filter(F.col(bits), lambda b: F.pmod(F.floor(b / 64), F.lit(len(SIGNATURE))) == k)
-        shift = F.aggregate(
-            inside, zero, lambda acc, b: acc.bitwiseXOR(F.call_function("shiftleft", one, F.pmod(b, F.lit(64)).cast("int")))
+        inside = F.filter(F.col(bits), lambda b: F.shiftright(b, 6).bitwiseAND(F.lit(7)) == k)
+        folded = F.aggregate(
+            inside, zero, lambda acc, b: acc.bitwiseXOR(F.call_function("shiftleft", one, b.bitwiseAND(F.lit(63))))
         )
-        return F.coalesce(shift, zero)
+        return F.coalesce(folded, zero)
 
     return [word(k) for k in range(len(SIGNATURE))]
 
@@ -85,7 +85,7 @@ def prefix_index(sets: DataFrame, threshold: float) -> PrefixIndex:
     shared = attach_by_key(elements, cut(frequency.where(F.col("freq") > 1)), "element", "freq")
     # at most as long as the set itself, whatever the data size
     ordered = shared.groupBy("rep").agg(
-        F.max("size").alias("size"), F.array_sort(F.collect_list(F.struct("freq", "element"))).alias("_o")
+        F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("freq", "element"))).alias("_o")
     )
     single = F.col("size") - F.size("_o")
     length = F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - F.lit(EPS)).cast("int") + 1

@@ -25,6 +25,7 @@ from assayspark.operators.fingerprints import fingerprint
 from assayspark.operators.quantiles import impute_median
 from assayspark.operators.ranking import hash_split, split_distribution, stratified_split
 from assayspark.sources.files import write_splits
+from assayspark.sources.stages import cut
 
 MAX_CLASSES = 100_000
 
@@ -122,7 +123,8 @@ def format_features(
     """Clean, fingerprint, scale, split and optionally store: (key, features, target, split)."""
     clean = clean_activity(df, value)
     rows = fingerprint(clean, text, k, n_bits, unit)
-    rows = hash_split(rows.select(key, "bits", F.col(target).alias("target")), key, fraction)
+    # the texts are hashed once; counting, clearing and encoding read the written bits
+    rows = cut(hash_split(rows.select(key, "bits", F.col(target).alias("target")), key, fraction))
     rows = drop_constant_bits(rows, "bits", rows.where(F.col("split") == "train"))
     out = bits_to_vector(rows, "bits", n_bits).select(key, "features", "target", "split")
     if path:

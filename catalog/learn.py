@@ -179,14 +179,10 @@ def _(spark, sf):
     path = fresh_path(spark, "features")
     prepare.format_features(_docs(spark, sf), "doc_id", "text", "lang", "value", path=path)
     stored = spark.read.parquet(path)
-    dense = vector_to_array("features")
-    on = F.filter(F.transform(dense, lambda x, i: F.when(x > 0, i).otherwise(-1)), lambda i: i >= 0)
-    return stored.select("doc_id", "target", "split", on.alias("on")).select(
-        "doc_id",
-        "target",
-        "split",
-        F.size("on").cast("long").alias("bits_set"),
-        F.aggregate("on", F.lit(0).cast("long"), lambda a, i: a + i).alias("bit_sum"),
+    cells = stored.select("doc_id", "target", "split", F.posexplode(vector_to_array("features")).alias("i", "x"))
+    on = F.col("x") > 0
+    return cells.groupBy("doc_id", "target", "split").agg(
+        F.count(F.when(on, 1)).alias("bits_set"), F.coalesce(F.sum(F.when(on, F.col("i"))), F.lit(0)).alias("bit_sum")
     )
 
 
