@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assayspark.functions.columns import finite
-from assayspark.operators.spread import ROWS_PER_BUCKET, checked_broadcast, running_totals
+from assayspark.operators.spread import ROWS_PER_BUCKET, attach_by_key, checked_broadcast, running_totals
 from assayspark.sources.stages import cut
 
 DIRECT_ROWS = 1_000_000
@@ -125,17 +125,20 @@ def histogram(
     by = list(by)
     w = F.col(weight) if weight else F.lit(1)
     rows = df.select(*by, finite(value).alias("_v"), w.cast("long").alias("_w")).where(F.col("_v").isNotNull())
-    ends = rows.groupBy(*by).agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.sum("_w").alias("_total"))
+    ends = rows.groupBy(*by).agg(
+        F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.sum("_w").alias("_total"), F.count(F.lit(1)).alias("_rows")
+    )
     flat = F.col("_a") == F.col("_b")
     ends = ends.select(
         *by,
         F.when(flat, F.col("_a") - 0.5).otherwise(F.col("_a")).alias("_a"),
         F.when(flat, F.col("_b") + 0.5).otherwise(F.col("_b")).alias("_b"),
         "_total",
+        "_rows",
     )
     if by:
         small = checked_broadcast(ends)
-        placed = rows.join(small, by, "inner")
+        placed = rows.join(small, by, "inner") if small is not ends else attach_by_key(rows, ends, by, "_rows")
         low, high = F.col("_a"), F.col("_b")
     else:
         small = ends.sparkSession.createDataFrame(ends.collect(), ends.schema)
@@ -171,9 +174,14 @@ def box_summary(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     )
     iqr = F.col("q3") - F.col("q1")
     inside = F.col("_v").between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr)
+    small = checked_broadcast(quartiles)
+    if small is not quartiles:
+        placed = rows.join(small, by, "inner")
+    else:
+        sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
+        placed = attach_by_key(rows, quartiles.join(sizes, by), by, "_rows")
     return (
-        rows.join(checked_broadcast(quartiles), by, "inner")
-        .groupBy(*by, "q1", "median", "q3")
+        placed.groupBy(*by, "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, F.col("_v"))).alias("whisker_lo"),
             F.max(F.when(inside, F.col("_v"))).alias("whisker_hi"),

@@ -20,6 +20,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BROADCAST_ROWS = 100_000
+HOT_KEYS = 20_000
 ROWS_PER_TASK = 1_000_000
 ROWS_PER_BUCKET = 250_000
 MAX_BUCKETS = 10_000
@@ -37,14 +38,10 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def attach_by_key(
     left: DataFrame,
     per_key: DataFrame,
-    key: str,
+    key: str | Sequence[str],
     rows: str,
     how: str = "inner",
     rows_per_task: int = ROWS_PER_TASK,
@@ -54,29 +51,37 @@ def attach_by_key(
 
     ``rows`` names the column of ``per_key`` with the number of left rows of the
     key.  A key with more than ``rows_per_task`` rows is cut into
-    ``ceil(rows / rows_per_task)`` salted pieces on both sides.  There are at
-    most total/rows_per_task such keys, so their list grows a million times
-    slower than the data; its size is still checked before it is broadcast.
-    A known ``left_rows`` within one task's share saves the search for hot keys.
+    ``ceil(rows / rows_per_task)`` salted pieces on both sides.  Should more than
+    HOT_KEYS keys be that large, the HOT_KEYS largest are cut: the list that is
+    broadcast is bounded, and no key outside it holds more than 1/HOT_KEYS of
+    the rows.  A known ``left_rows`` within one task's share saves the search.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     if left_rows is not None and left_rows <= rows_per_task:
-        return left.join(per_key, key, how)
-    salts = F.ceil(F.col(rows) / F.lit(rows_per_task)).cast("int")
-    hot = per_key.where(F.col(rows) > rows_per_task).select(F.col(key).alias("_hot_key"), salts.alias("_salts"))
-    hot_rows = hot.limit(BROADCAST_ROWS + 1).collect()
-    if not hot_rows or len(hot_rows) > BROADCAST_ROWS:
-        # No hot key; or so many that they spread by themselves over the tasks.
-        return left.join(per_key, key, how)
-    hot_table = F.broadcast(left.sparkSession.createDataFrame(hot_rows, hot.schema))
-    others = [c for c in left.columns if c != key]
-    row_hash = F.xxhash64(F.monotonically_increasing_id()) if not others else F.xxhash64(*[F.col(c) for c in others])
+        return left.join(per_key, keys, how)
+    hot = per_key.where(F.col(rows) > rows_per_task).select(*keys, F.col(rows).alias("_rows"))
+    found = hot.limit(HOT_KEYS + 1).collect()
+    if not found:
+        return left.join(per_key, keys, how)
+    floor = rows_per_task
+    if len(found) > HOT_KEYS:
+        found = hot.orderBy(F.col("_rows").desc()).limit(HOT_KEYS + 1).collect()
+        floor = found[-1]["_rows"]
+        found = [r for r in found if r["_rows"] > floor]
+    names = [f"_hot_{i}" for i in range(len(keys))]
+    hot_table = F.broadcast(left.sparkSession.createDataFrame(found, hot.schema).toDF(*names, "_rows"))
+    pieces = F.ceil(F.col("_rows") / F.lit(rows_per_task))
+    # A row's piece depends on its values only, so a task that runs again deals alike.
+    others = [F.col(c) for c in left.columns if c not in keys] or [F.spark_partition_id()]
+    on = reduce(lambda a, b: a & b, [F.col(k) == F.col(n) for k, n in zip(keys, names)])
     salted_left = (
-        left.join(hot_table, F.col(key) == F.col("_hot_key"), "left")
-        .withColumn("_salt", F.coalesce(F.pmod(row_hash, F.col("_salts")), F.lit(0)).cast("int"))
-        .drop("_hot_key", "_salts")
+        left.join(hot_table, on, "left")
+        .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*others), pieces), F.lit(0)).cast("int"))
+        .drop(*names, "_rows")
     )
-    salted_right = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
-    return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
+    salts = F.when(F.col(rows) > floor, F.ceil(F.col(rows) / F.lit(rows_per_task))).otherwise(1).cast("int")
+    salted_right = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 
 def bucket_by_range(

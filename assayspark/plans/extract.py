@@ -9,19 +9,17 @@ from pyspark.sql import DataFrame, functions as F
 from assayspark.functions.columns import nan_to_null
 from assayspark.operators.filters import matches_any
 from assayspark.operators.spread import attach_by_key, checked_broadcast
-
-TYPES = ("IC50", "Ki", "Kd")
-VALIDATED = "Manually validated"
+from assayspark.plans import fixed
 
 
 def extract_compounds(
     tables: Mapping[str, DataFrame],
-    target_like: str = "%kinase%",
-    types: Sequence[str] = TYPES,
-    units: str = "nM",
-    comment: str = VALIDATED,
+    target_like: str = fixed.TARGET_LIKE,
+    types: Sequence[str] = fixed.ACTIVITY_TYPES,
+    units: str = fixed.ACTIVITY_UNITS,
+    comment: str = fixed.VALIDATED,
     validated_only: bool = False,
-    max_value: float = 10_000.0,
+    max_value: float = fixed.POSITIVE_CUTOFF,
 ) -> DataFrame:
     """Distinct compound-target-activity rows.
 

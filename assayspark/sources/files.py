@@ -49,12 +49,18 @@ def write_confusion(matrix: DataFrame, path: str) -> None:
 
 
 def read_confusion(spark: SparkSession, path: str) -> DataFrame:
-    """A confusion-matrix CSV in long form (label, prediction, n)."""
+    """A confusion-matrix CSV in long form (label, prediction, n).
+
+    The file either names its labels (`write_confusion`) or has one plain column
+    per class, in class order, with the true label given by the row number."""
     wide = spark.read.option("header", True).csv(path)
-    cells = [c for c in wide.columns if c.startswith("p_")]
-    numbers = wide.select(F.col("label").cast("double"), *[F.col(c).cast("long").alias(c) for c in cells])
-    long = numbers.unpivot(["label"], cells, "prediction", "n")
-    return long.select("label", F.regexp_extract("prediction", r"p_(.+)", 1).cast("double").alias("prediction"), "n")
+    if "label" not in wide.columns:
+        # one small file, read in order by one task
+        wide = wide.coalesce(1).withColumn("label", F.monotonically_increasing_id())
+    cells = [c for c in wide.columns if c != "label"]
+    numbers = wide.select(F.col("label").cast("double"), *[F.col(f"`{c}`").cast("long").alias(c) for c in cells])
+    long = numbers.unpivot(["label"], [F.col(f"`{c}`") for c in cells], "prediction", "n")
+    return long.select("label", F.regexp_extract("prediction", r"(?:p_)?(.+)", 1).cast("double").alias("prediction"), "n")
 
 
 def write_clusters(

@@ -60,6 +60,12 @@ def test_tsv(spark, tmp_path):
     assert files.read_tsv(spark, str(tmp_path / "bad.tsv"), "id int, v double").orderBy("id").collect() == [(1, None), (2, 3.5)]
 
 
+def test_confusion_without_a_label_column(spark, tmp_path):
+    (tmp_path / "cm.csv").write_text("0,1,2\n5,1,0\n2,7,3\n0,0,9\n")
+    got = {(r["label"], r["prediction"]): r["n"] for r in files.read_confusion(spark, str(tmp_path / "cm.csv")).collect()}
+    assert got == {(i, j): n for i, row in enumerate([[5, 1, 0], [2, 7, 3], [0, 0, 9]]) for j, n in enumerate(row)}
+
+
 def test_clusters_get_one_folder_each_and_hot_ones_several_files(spark, tmp_path):
     df = spark.range(600).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 5 + 1).alias("cluster_id"), (F.col("id") * 37 % 101).cast("double").alias("weight"))
     path = str(tmp_path / "clusters")

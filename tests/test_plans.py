@@ -75,13 +75,13 @@ def test_extract_keeps_unmatched_names_and_drops_duplicates(spark):
         "target_dictionary": frame(
             [(100, "protein kinase A", "human"), (101, "Kinase B", "human"), (102, None, None)], "tid long, pref_name string, organism string"
         ),
-        "molecule_dictionary": frame([(1, "CHEMBL1", "first")], "molregno long, chembl_id string, pref_name string"),
+        "molecule_dictionary": frame([(1, "ID1", "first")], "molregno long, chembl_id string, pref_name string"),
         "kinase_groups": frame([(100, "AGC"), (101, "CMGC"), (100, "TK")], "tid long, kinase_group string"),
     }
     from assayspark.plans.extract import enrich_groups, extract_compounds, group_activity_counts
 
     got = sorted((r["molregno"], r["standard_value"], r["chembl_id"]) for r in extract_compounds(tables).collect())
-    assert got == [(1, 5.0, "CHEMBL1"), (3, 7.0, None), (3, 20000.0, None)]
+    assert got == [(1, 5.0, "ID1"), (3, 7.0, None), (3, 20000.0, None)]
     validated = extract_compounds(tables, validated_only=True).collect()
     assert [(r["molregno"], r["standard_value"]) for r in validated] == [(3, 7.0)]
     counts = group_activity_counts(tables)
@@ -90,3 +90,31 @@ def test_extract_keeps_unmatched_names_and_drops_duplicates(spark):
     assert sorted(((r["assay_id"], r["kinase_group"], r["count_kinase_group"]) for r in rows.collect())) == [
         (10, "AGC", 10), (11, "CMGC", 1), (12, None, None)]
     assert rows.where(F.col("kinase_group").isNull()).count() == 1
+
+
+def test_compound_jobs(spark):
+    from assayspark.plans import compounds
+
+    codes = ["CCOCCN.Cl", "CCOCCN", "CCOCCN.Na", "c1ccccc1", "c1ccccc1C", "NCCNCCNCC", None]
+    rows = [(i, c, v, g, 10.0 - i, float(i)) for i, (c, v, g) in enumerate(zip(codes, [1.0, 10000.0, 10001.0, None, 5.0, 900.0, 2.0], ["AGC", "Other", None, "STE", "AGC", "TKL", "AGC"]))]
+    df = spark.createDataFrame(rows, "id long, canonical_smiles string, standard_value double, kinase_group string, molecular_weight double, pchembl_value double")
+    salts = spark.createDataFrame([("Cl",), ("Na",)], "part string")
+    parts = compounds.clean_compounds(df, salts)
+    assert {r["canonical_smiles"] for r in parts["with_salt"].collect()} == set(codes)
+    assert sorted(r["id"] for r in parts["positive"].collect()) == [0, 1, 4, 5, 6]
+    assert sorted(r["id"] for r in parts["negative"].collect()) == [2]
+    out = compounds.cluster_compounds(parts["salt_free"], "id")
+    assert {r["id"] for r in out["members"].collect()} == {0, 1, 2}
+    assert [(r["id"], r["molecular_weight"]) for r in out["hits"].collect()] == [(2, 8.0)]
+    assert out["clustered"].count() == 6
+    compared = compounds.compare_compounds(parts["salt_free"], "id")
+    totals = compared["histograms"].groupBy("metric").agg(F.sum("n").alias("n")).collect()
+    assert {r["n"] for r in totals} == {36} and len(totals) == 5
+    assert compared["violins"].select("metric").distinct().count() == 5
+    assert compared["activity"].agg(F.sum("n")).first()[0] == 7
+    checked = compounds.check_balance(df)
+    assert checked["filtered"].count() == 6
+    assert {(r["threshold"], r["label"]): r["n"] for r in checked["overall"].collect()} == {
+        ("1 uM", "active"): 4, ("1 uM", "inactive"): 2, ("10 uM", "active"): 4, ("10 uM", "inactive"): 2}
+    assert compounds.check_balance(df, keep=["AGC"], drop=None)["filtered"].count() == 3
+    assert checked["metrics"].count() == 6

@@ -164,6 +164,31 @@ def test_attach_by_key_splits_hot_keys(spark):
     assert missing.count() == 1000 and missing.where("m IS NULL").count() == 1
 
 
+def test_attach_by_key_with_more_hot_keys_than_are_listed(spark, monkeypatch):
+    monkeypatch.setattr(spread, "HOT_KEYS", 2)
+    left = spark.range(900).select("id", (F.col("id") % 6).alias("k"), (F.col("id") % 2).alias("j"))
+    left = left.union(spark.range(900, 1500).select("id", F.lit(0).alias("k"), F.lit(0).alias("j")))
+    per = left.groupBy("k", "j").agg(F.count(F.lit(1)).alias("n"))
+    got = spread.attach_by_key(left, per, ["k", "j"], "n", rows_per_task=20).select("id", "k", "j", "n").collect()
+    assert sorted(got) == sorted(left.join(per, ["k", "j"]).select("id", "k", "j", "n").collect())
+
+
+def test_attach_by_key_with_the_key_column_only(spark):
+    left = spark.range(300).select(F.when(F.col("id") < 200, 0).otherwise(F.col("id")).alias("k"))
+    per = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    assert spread.attach_by_key(left, per, "k", "n", rows_per_task=30).count() == 300
+
+
+def test_many_groups_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(spread.checked_broadcast, "__defaults__", (3,))
+    monkeypatch.setattr(spread.attach_by_key, "__defaults__", ("inner", 20, None))
+    df = spark.range(400).select((F.col("id") % 40).alias("g"), (F.col("id") * 7 % 31).cast("double").alias("v"))
+    hot = df.union(spark.range(200).select(F.lit(0).alias("g"), F.col("id").cast("double").alias("v")))
+    total = quantiles.histogram(hot, "v", 5, ["g"]).groupBy("g").agg(F.sum("n").alias("n")).collect()
+    assert sorted((r["g"], r["n"]) for r in total) == [(0, 210)] + [(g, 10) for g in range(1, 40)]
+    assert quantiles.box_summary(hot, "v", ["g"]).agg(F.sum("n")).first()[0] == 600
+
+
 def test_checked_broadcast(spark):
     small = spark.range(10)
     assert spread.checked_broadcast(small, 10) is not small
