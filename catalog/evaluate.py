@@ -189,12 +189,12 @@ def _(spark, sf):
     return rounded(evaluate.score_areas(multilabel(spark, sf), rows_per_bucket=50))
 
 
-@query("roc_auc", f"WITH {_ML}, {_AREAS} SELECT round(sum(roc_auc * support) / sum(support), 6) AS roc_auc FROM areas")
+@query("roc_auc", f"WITH {_ML}, {_AREAS} SELECT round(sum(roc_auc * support) / sum(support), 6) AS roc_auc FROM areas WHERE roc_auc IS NOT NULL")
 def _(spark, sf):
     return rounded(evaluate.roc_auc(multilabel(spark, sf)))
 
 
-@query("pr_auc", f"WITH {_ML}, {_AREAS} SELECT round(sum(pr_auc * support) / sum(support), 6) AS pr_auc FROM areas")
+@query("pr_auc", f"WITH {_ML}, {_AREAS} SELECT round(sum(pr_auc * support) / sum(support), 6) AS pr_auc FROM areas WHERE pr_auc IS NOT NULL")
 def _(spark, sf):
     return rounded(evaluate.pr_auc(multilabel(spark, sf)))
 
