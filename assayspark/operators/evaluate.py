@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assayspark.operators.spread import ROWS_PER_BUCKET, running_totals
+from assayspark.sources.stages import cut
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -128,58 +129,68 @@ def multilabel_confusion(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def class_precision(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """TP / (TP + FP) per class, 0 where nothing was predicted."""
-    return multilabel_confusion(pred, by).select(
-        *by, "class_id", _ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("class_precision")
-    )
+    return multilabel_confusion(pred, by).select(*by, "class_id", _precision().alias("class_precision"))
 
 
 def class_precision_mean(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return class_precision(pred, by).groupBy(*by).agg(F.avg("class_precision").alias("class_avg_precision"))
 
 
+def _precision() -> Column:
+    return _ratio(F.col("tp"), F.col("tp") + F.col("fp"))
+
+
 def subset_accuracy(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Share of rows whose whole label vector is right."""
     rows = pred.groupBy(*by, "row_id").agg(F.min((F.col("label") == F.col("predicted")).cast("int")).alias("_ok"))
     return rows.groupBy(*by).agg(F.avg("_ok").alias("subset_accuracy"))
 
 
-def multilabel_prf(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Support-weighted precision, recall and F1; 0 on empty denominators."""
+def _weighted_prf() -> list[Column]:
+    """Support-weighted means over a table of class counts."""
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    precision, recall = _ratio(tp, tp + fp), _ratio(tp, tp + fn)
-    f1 = _ratio(F.lit(2.0) * tp, F.lit(2.0) * tp + fp + fn)
     support = tp + fn
-    return (
-        multilabel_confusion(pred, by)
-        .groupBy(*by)
-        .agg(
-            _ratio(F.sum(support * precision), F.sum(support)).alias("precision"),
-            _ratio(F.sum(support * recall), F.sum(support)).alias("recall"),
-            _ratio(F.sum(support * f1), F.sum(support)).alias("f1"),
-        )
+    parts = {
+        "precision": _precision(),
+        "recall": _ratio(tp, support),
+        "f1": _ratio(F.lit(2.0) * tp, F.lit(2.0) * tp + fp + fn),
+    }
+    return [_ratio(F.sum(support * c), F.sum(support)).alias(n) for n, c in parts.items()]
+
+
+def multilabel_prf(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Support-weighted precision, recall and F1; 0 on empty denominators."""
+    return multilabel_confusion(pred, by).groupBy(*by).agg(*_weighted_prf())
+
+
+def score_steps(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., class_id, score, pos, neg, tp, fp): the rows reduced to distinct scores, so ties are one step."""
+    y, p = F.col("label").cast("long"), F.col("predicted").cast("long")
+    return pred.groupBy(*by, "class_id", "score").agg(
+        F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"), F.sum(y * p).alias("tp"), F.sum((1 - y) * p).alias("fp")
     )
 
 
 def score_areas(pred: DataFrame, by: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """ROC-AUC and average precision per class, with the class support.
 
-    Rows are first reduced to distinct scores with their positives and
-    negatives, so ties are one step of the curve.  The running totals along the
-    score are taken in two levels: a class of any size is sorted by many tasks.
-    A class without both outcomes has no ROC-AUC (NULL).
-    """
+    A class without both outcomes has no ROC-AUC (NULL)."""
+    return areas_from_steps(score_steps(pred, by), by, rows_per_bucket)
+
+
+def areas_from_steps(steps: DataFrame, by: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """The areas from distinct scores.  The running totals along the score are
+    taken in two levels: a class of any size is sorted by many tasks."""
     group = [*by, "class_id"]
-    steps = pred.groupBy(*group, "score").agg(
-        F.sum(F.col("label").cast("long")).alias("_pos"), F.sum((1 - F.col("label")).cast("long")).alias("_neg")
-    )
-    sums = {"_cpos": F.col("_pos"), "_cneg": F.col("_neg")}
+    sums = {"_cpos": F.col("pos"), "_cneg": F.col("neg")}
     run = running_totals(steps, ["score"], sums, group, rows_per_bucket=rows_per_bucket, with_total=True)
-    pos, neg = F.col("_pos"), F.col("_neg")
+    pos, neg = F.col("pos"), F.col("neg")
     all_pos, all_neg = F.col("_cpos_total"), F.col("_cneg_total")
     below = F.col("_cneg") - neg + neg / F.lit(2.0)
     at_or_above_pos = all_pos - F.col("_cpos") + pos
     at_or_above_neg = all_neg - F.col("_cneg") + neg
     precision_here = at_or_above_pos / (at_or_above_pos + at_or_above_neg)
+    sides = (F.col("support") > 0) & (F.col("_negatives") > 0)
     return (
         run.groupBy(*group)
         .agg(
@@ -190,49 +201,57 @@ def score_areas(pred: DataFrame, by: Sequence[str] = (), rows_per_bucket: int =
         )
         .select(
             *group,
-            F.when((F.col("support") > 0) & (F.col("_negatives") > 0), F.col("_wins") / F.col("support") / F.col("_negatives")).alias(
-                "roc_auc"
-            ),
+            F.when(sides, F.col("_wins") / F.col("support") / F.col("_negatives")).alias("roc_auc"),
             F.when(F.col("support") > 0, F.col("_area") / F.col("support")).alias("pr_auc"),
             "support",
         )
     )
 
 
-def _support_mean(areas: DataFrame, c: str, by: Sequence[str]) -> DataFrame:
-    known = areas.where(F.col(c).isNotNull())
-    return known.groupBy(*by).agg((F.sum(F.col(c) * F.col("support")) / F.sum("support")).alias(c))
+def _support_mean(c: str) -> Column:
+    """Support-weighted mean over the classes for which the measure exists."""
+    known = F.when(F.col(c).isNotNull(), F.col("support"))
+    return (F.sum(F.col(c) * known) / F.sum(known)).alias(c)
 
 
 def roc_auc(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Support-weighted ROC-AUC over the classes."""
-    return _support_mean(score_areas(pred, by), "roc_auc", by)
+    return score_areas(pred, by).groupBy(*by).agg(_support_mean("roc_auc"))
 
 
 def pr_auc(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Support-weighted average precision over the classes."""
-    return _support_mean(score_areas(pred, by), "pr_auc", by)
+    return score_areas(pred, by).groupBy(*by).agg(_support_mean("pr_auc"))
+
+
+def _losses(eps: float) -> tuple[Column, Column]:
+    """The loss of a positive and of a negative cell at ``score``."""
+    p = F.least(F.greatest(F.col("score"), F.lit(eps)), F.lit(1.0 - eps))
+    return -F.log(p), -F.log(F.lit(1.0) - p)
 
 
 def log_loss(pred: DataFrame, by: Sequence[str] = (), eps: float = 1e-15) -> DataFrame:
     """Mean binary cross-entropy over all (row, class) cells; scores are probabilities."""
-    p = F.least(F.greatest(F.col("score"), F.lit(eps)), F.lit(1.0 - eps))
-    cell = -(F.col("label") * F.log(p) + (1 - F.col("label")) * F.log(F.lit(1.0) - p))
-    return pred.groupBy(*by).agg(F.avg(cell).alias("log_loss"))
+    of_pos, of_neg = _losses(eps)
+    return pred.groupBy(*by).agg(F.avg(F.col("label") * of_pos + (1 - F.col("label")) * of_neg).alias("log_loss"))
 
 
-def fold_metrics(pred: DataFrame, fold: str = "fold", split: str = "split") -> DataFrame:
-    """All multi-label metrics, one row per fold and split."""
+def fold_metrics(pred: DataFrame, fold: str = "fold", split: str = "split", eps: float = 1e-15) -> DataFrame:
+    """All multi-label metrics, one row per fold and split.
+
+    Two passes over the predictions: one per row for the subset accuracy, and
+    one into distinct scores, from which everything else follows."""
     by = [fold, split]
-    prf = multilabel_prf(pred, by)
-    areas = score_areas(pred, by)
-    parts = [
-        subset_accuracy(pred, by),
-        class_precision_mean(pred, by),
-        _support_mean(areas, "roc_auc", by),
-        _support_mean(areas, "pr_auc", by),
-        log_loss(pred, by),
-    ]
-    for part in parts:
-        prf = prf.join(part, by, "left")
-    return prf
+    steps = cut(score_steps(pred, by))
+    of_pos, of_neg = _losses(eps)
+    classes = steps.groupBy(*by, "class_id").agg(
+        F.sum("tp").alias("tp"),
+        F.sum("fp").alias("fp"),
+        (F.sum("pos") - F.sum("tp")).alias("fn"),
+        F.sum(F.col("pos") * of_pos + F.col("neg") * of_neg).alias("_loss"),
+        F.sum(F.col("pos") + F.col("neg")).alias("_cells"),
+    )
+    loss = (F.sum("_loss") / F.sum("_cells")).alias("log_loss")
+    counted = classes.groupBy(*by).agg(*_weighted_prf(), F.avg(_precision()).alias("class_avg_precision"), loss)
+    areas = areas_from_steps(steps, by).groupBy(*by).agg(_support_mean("roc_auc"), _support_mean("pr_auc"))
+    return counted.join(subset_accuracy(pred, by), by, "left").join(areas, by, "left")
