@@ -14,8 +14,10 @@ from assayspark.operators.simjoin import copy_groups, distinct_sets, join_postin
 from assayspark.operators.spread import attach_by_key
 from assayspark.sources.stages import cut
 
-FIRST_CHUNK = 16_384
-GROWTH = 8
+FIRST_CHUNK = 256
+GROWTH = 16
+ONE_CHUNK_MATCHES = 50_000_000
+MATCHES_PER_POSTING = 20
 
 
 def _members(edges: DataFrame) -> DataFrame | None:
@@ -44,32 +46,49 @@ def _members(edges: DataFrame) -> DataFrame | None:
     return members
 
 
+def _short_postings(postings: DataFrame, one_chunk_matches: int) -> bool:
+    """True when joining all postings at once stays near their own number."""
+    per_element = postings.groupBy("element").agg(F.count(F.lit(1)).alias("n"))
+    sums = per_element.agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("matches")).first()
+    if not sums["n"]:
+        return True
+    return sums["matches"] <= one_chunk_matches or (
+        one_chunk_matches > 0 and sums["matches"] <= MATCHES_PER_POSTING * sums["n"]
+    )
+
+
 def leader_assignments(
-    sets: DataFrame, threshold: float = 0.8, first_chunk: int = FIRST_CHUNK, growth: int = GROWTH
+    sets: DataFrame,
+    threshold: float = 0.8,
+    first_chunk: int = FIRST_CHUNK,
+    growth: int = GROWTH,
+    one_chunk_matches: int = ONE_CHUNK_MATCHES,
 ) -> DataFrame:
     """(rep, leader) for the members among distinct sets; a set that is not listed leads.
 
     Same result as the sequential rule: in id order, each unvisited row leads
     and takes every later unvisited row with Tanimoto >= threshold.
 
-    Ids are handled in chunks of growing size.  A chunk is first freed of the
+    Where the postings are short, all ids are joined at once.  Otherwise they
+    are handled in chunks of growing size.  A chunk is first freed of the
     rows near an earlier leader, so a large family of near copies disappears
-    with its first member and its pairs are never formed.  After a prefix of k
+    with its first member and its pairs are never formed.  The first chunk is
+    small, since it alone meets such a family whole.  After a prefix of k
     rows in random order, the rows left have few neighbours among the next
     chunk (Blelloch, Fineman, Shun 2012), so each chunk joins a sparse graph.
     """
     index = prefix_index(sets, threshold)
     rest = index.prefix
-    total = rest.select("rep").distinct().count()
     bounds: list[float] = []
-    if total > first_chunk:
-        shares, reach = [], first_chunk
+    if not _short_postings(rest, one_chunk_matches):
+        ids = rest.select(F.col("rep").cast("double").alias("r")).distinct()
+        total, shares, reach = ids.count(), [], first_chunk
         while reach < total:
             shares.append(reach / total)
             reach *= growth
-        # bounds only choose the chunk sizes; any bounds give the same clusters
-        ids = rest.select("rep").distinct().select(F.col("rep").cast("double").alias("r"))
-        bounds = sorted(set(ids.approxQuantile("r", shares, min(0.25 * shares[0], 0.01))))
+        if shares:
+            # bounds only choose the chunk sizes; any bounds give the same clusters
+            bounds = sorted(set(ids.approxQuantile("r", shares, min(0.25 * shares[0], 0.01))))
     out = None
     for bound in [*bounds, None]:
         chunk = rest if bound is None else rest.where(F.col("rep") < F.lit(bound))
@@ -81,7 +100,7 @@ def leader_assignments(
                 members.withColumnRenamed("id", "id_a"), "id_a", "left_anti"
             )
             taken = attach_by_key(pairs, by_leader, "id_a", "_deg")
-            found.append(taken.groupBy(F.col("id_b").alias("rep")).agg(F.min("id_a").alias("leader")))
+            found.append(cut(taken.groupBy(F.col("id_b").alias("rep")).agg(F.min("id_a").alias("leader"))))
         if bound is not None:
             later = rest.where(F.col("rep") >= F.lit(bound))
             leading = chunk
@@ -91,7 +110,6 @@ def leader_assignments(
             found.append(near)
             rest = cut(later.join(near, "rep", "left_anti"))
         for part in found:
-            part = cut(part)
             out = part if out is None else out.unionByName(part)
     if out is None:
         rep = sets.schema["rep"].dataType.simpleString()
@@ -106,6 +124,7 @@ def leader_cluster(
     threshold: float = 0.8,
     first_chunk: int = FIRST_CHUNK,
     growth: int = GROWTH,
+    one_chunk_matches: int = ONE_CHUNK_MATCHES,
 ) -> DataFrame:
     """(id, leader_id, cluster_id) for every row with a fingerprint.
 
@@ -113,7 +132,7 @@ def leader_cluster(
     leaders from 0 in that order.  Rows are matched by key, so rows without a
     fingerprint shift nothing."""
     sets = cut(distinct_sets(df, id, bits))
-    assigned = leader_assignments(sets, threshold, first_chunk, growth)
+    assigned = leader_assignments(sets, threshold, first_chunk, growth, one_chunk_matches)
     leaders = sets.select("rep", "copies").join(assigned, "rep", "left")
     leaders = cut(leaders.select("rep", "copies", F.coalesce("leader", "rep").alias("leader_id")))
     numbered = with_position(leaders.where(F.col("rep") == F.col("leader_id")).select("leader_id"), "leader_id", "cluster_id")

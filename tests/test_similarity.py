@@ -91,7 +91,7 @@ def test_copy_groups(spark):
 @pytest.mark.parametrize("seed, universe, t, chunk, growth", [(11, 60, 0.5, 4096, 8), (12, 50, 0.3, 10, 2), (13, 400, 0.8, 15, 3), (14, 35, 0.4, 5, 4)])
 def test_leader_cluster_equals_sequential_rule(spark, seed, universe, t, chunk, growth):
     sets = random_sets(seed, 45, max(universe, 30))
-    got = cluster.leader_cluster(frame(spark, sets), "id", threshold=t, first_chunk=chunk, growth=growth).collect()
+    got = cluster.leader_cluster(frame(spark, sets), "id", threshold=t, first_chunk=chunk, growth=growth, one_chunk_matches=0).collect()
     want = sequential_leaders(sets, t)
     assert {r["id"]: r["leader_id"] for r in got} == {3 * i: 3 * x for i, x in want.items()}
     number = {x: k for k, x in enumerate(sorted(set(want.values())))}
