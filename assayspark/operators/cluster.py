@@ -79,20 +79,22 @@ def leader_assignments(
     """
     index = prefix_index(sets, threshold)
     rest = index.prefix
-    bounds: list[float] = []
+    bounds, shares = [], []
     if not _short_postings(rest, one_chunk_matches):
         ids = rest.select(F.col("rep").cast("double").alias("r")).distinct()
-        total, shares, reach = ids.count(), [], first_chunk
+        total, reach = ids.count(), first_chunk
         while reach < total:
             shares.append(reach / total)
             reach *= growth
         if shares:
             # bounds only choose the chunk sizes; any bounds give the same clusters
-            bounds = sorted(set(ids.approxQuantile("r", shares, min(0.25 * shares[0], 0.01))))
+            bounds = sorted(ids.approxQuantile("r", shares, max(min(0.25 * shares[0], 0.01), 1e-5)))
     out = None
-    for bound in [*bounds, None]:
+    done = 0.0
+    for bound, reached in zip([*bounds, None], [*shares, 1.0]):
         chunk = rest if bound is None else rest.where(F.col("rep") < F.lit(bound))
-        pairs = cut(join_postings(index, chunk, chunk))
+        pairs = cut(join_postings(index, chunk, chunk, share=reached - done))
+        done = reached
         members = _members(pairs)
         found = []
         if members is not None:
@@ -106,7 +108,8 @@ def leader_assignments(
             leading = chunk
             if members is not None:
                 leading = chunk.join(members.withColumnRenamed("id", "rep"), "rep", "left_anti")
-            near = cut(join_postings(index, leading, later).groupBy(F.col("id_b").alias("rep")).agg(F.min("id_a").alias("leader")))
+            near = join_postings(index, leading, later, share=1.0 - reached)
+            near = cut(near.groupBy(F.col("id_b").alias("rep")).agg(F.min("id_a").alias("leader")))
             found.append(near)
             rest = cut(later.join(near, "rep", "left_anti"))
         for part in found:

@@ -104,16 +104,17 @@ def prefix_index(sets: DataFrame, threshold: float) -> PrefixIndex:
     return PrefixIndex(sets.select("rep", "bits"), cut(prefix), threshold)
 
 
-def _candidates(left: DataFrame, right: DataFrame, t: float, postings_per_task: int) -> DataFrame:
+def _candidates(left: DataFrame, right: DataFrame, t: float, postings_per_task: int, share: float = 1.0) -> DataFrame:
     """Distinct (a, b), a < b, that pass the prefix, length and position bounds.
 
-    The postings of a frequent element are cut into pieces: the left side is
-    dealt out by row, the right side repeated per piece, so one element never
-    makes one long task."""
-    pieces = F.ceil(F.col("freq") / F.lit(postings_per_task)).cast("int")
+    The postings of a frequent element are cut into pieces: the right side, which
+    may be the longer one, is dealt out by row and the left side repeated per
+    piece, so one element never makes one long task.  ``share`` is the part of
+    all sets on the right side; it sets the number of pieces only."""
+    pieces = F.greatest(F.ceil(F.col("freq") * F.lit(share) / F.lit(postings_per_task)), F.lit(1)).cast("int")
     a = left.select(
         F.col("element").alias("ea"),
-        F.pmod(F.xxhash64("rep"), pieces).cast("int").alias("piece_a"),
+        F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece_a"),
         F.col("rep").alias("a"),
         F.col("size").alias("na"),
         F.col("pos").alias("pa"),
@@ -121,7 +122,7 @@ def _candidates(left: DataFrame, right: DataFrame, t: float, postings_per_task:
     )
     b = right.select(
         F.col("element").alias("eb"),
-        F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece_b"),
+        F.pmod(F.xxhash64("rep"), pieces).cast("int").alias("piece_b"),
         F.col("rep").alias("b"),
         F.col("size").alias("nb"),
         F.col("pos").alias("pb"),
@@ -164,10 +165,15 @@ def _verified(candidates: DataFrame, sets: DataFrame, t: float) -> DataFrame:
 
 
 def join_postings(
-    index: PrefixIndex, left: DataFrame, right: DataFrame, postings_per_task: int = POSTINGS_PER_TASK
+    index: PrefixIndex,
+    left: DataFrame,
+    right: DataFrame,
+    postings_per_task: int = POSTINGS_PER_TASK,
+    share: float = 1.0,
 ) -> DataFrame:
     """Verified pairs between two parts of the index's postings, the earlier id first."""
-    return _verified(_candidates(left, right, index.threshold, postings_per_task), index.sets, index.threshold)
+    found = _candidates(left, right, index.threshold, postings_per_task, share)
+    return _verified(found, index.sets, index.threshold)
 
 
 def similarity_join(

@@ -18,15 +18,18 @@ def clean_compounds(
     structure: str = "canonical_smiles",
     value: str = "standard_value",
     cutoff: float = fixed.POSITIVE_CUTOFF,
+    keep_original: bool = False,
 ) -> dict[str, DataFrame]:
     """Strip and flag salts, then split by activity.
 
-    ``with_salt`` keeps the original structures beside the flag; ``salt_free``
-    has the stripped ones, and ``positive`` / ``negative`` are its two sides."""
-    original = df.withColumn("_original", F.col(structure))
-    flagged = filters.strip_parts(original, structure, salts)
+    ``salt_free`` has the stripped structures and the flag; ``positive`` and
+    ``negative`` are its two sides.  ``with_salt`` holds the stripped structures
+    too, as its users expect, or the original ones with ``keep_original``."""
+    flagged = filters.strip_parts(df.withColumn("_original", F.col(structure)), structure, salts)
     salt_free = flagged.drop("_original")
-    with_salt = flagged.withColumn(structure, F.col("_original")).drop("_original")
+    with_salt = salt_free
+    if keep_original:
+        with_salt = flagged.withColumn(structure, F.col("_original")).drop("_original")
     positive, negative = filters.split_by_cutoff(salt_free, value, cutoff)
     return {"with_salt": with_salt, "salt_free": salt_free, "positive": positive, "negative": negative}
 

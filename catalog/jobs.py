@@ -21,7 +21,7 @@ f AS (SELECT p_partkey, code AS original, array_to_string(kept, '.') AS code, p_
 @query(
     "clean_compounds",
     f"""{_CLEAN}
-SELECT p_partkey, original AS code, p_retailprice, original <> code AS contains_salt, 'with_salt' AS part FROM f
+SELECT p_partkey, code, p_retailprice, original <> code AS contains_salt, 'with_salt' AS part FROM f
 UNION ALL SELECT p_partkey, code, p_retailprice, original <> code, 'salt_free' FROM f
 UNION ALL SELECT p_partkey, code, p_retailprice, original <> code, 'positive' FROM f WHERE p_retailprice <= 950
 UNION ALL SELECT p_partkey, code, p_retailprice, original <> code, 'negative' FROM f WHERE p_retailprice > 950""",

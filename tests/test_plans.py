@@ -100,7 +100,9 @@ def test_compound_jobs(spark):
     df = spark.createDataFrame(rows, "id long, canonical_smiles string, standard_value double, kinase_group string, molecular_weight double, pchembl_value double")
     salts = spark.createDataFrame([("Cl",), ("Na",)], "part string")
     parts = compounds.clean_compounds(df, salts)
-    assert {r["canonical_smiles"] for r in parts["with_salt"].collect()} == set(codes)
+    original = compounds.clean_compounds(df, salts, keep_original=True)["with_salt"].collect()
+    assert {r["canonical_smiles"] for r in original} == set(codes)
+    assert parts["with_salt"].where("contains_salt").select("canonical_smiles").distinct().collect() == [("CCOCCN",)]
     assert sorted(r["id"] for r in parts["positive"].collect()) == [0, 1, 4, 5, 6]
     assert sorted(r["id"] for r in parts["negative"].collect()) == [2]
     out = compounds.cluster_compounds(parts["salt_free"], "id")
