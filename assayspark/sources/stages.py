@@ -13,14 +13,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
     Only where nothing is configured, as in a local test, a temporary folder is
-    made and set for the session."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="assayspark-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    made and set for the context."""
+    context = spark.sparkContext
+    configured = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    current = context.getCheckpointDir()
+    if current is None:
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="assayspark-"))
+        current = context.getCheckpointDir()
+    return configured or current
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
