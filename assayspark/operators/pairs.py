@@ -72,11 +72,13 @@ def pack_blocks(
 ) -> PackedBlocks:
     """Number the rows along ``order``, cut them into blocks and tiles, pack their bits.
 
-    Written once; the passes over the pairs read it."""
+    Rows without a fingerprint are left out before they are numbered.  Written
+    once; the passes over the pairs read it."""
     if n_bits > PACKED_BITS:
         raise ValueError(f"pair measures need n_bits <= {PACKED_BITS}")
     # packed where the rows are, before they are sorted into blocks
-    rows = df.select(F.col(order).alias("_o"), F.size(bits).cast("long").alias("s"), F.col(bits).alias("_bits"))
+    valid = df.where(F.col(bits).isNotNull())
+    rows = valid.select(F.col(order).alias("_o"), F.size(bits).cast("long").alias("s"), F.col(bits).alias("_bits"))
     packed = pack_bits(rows, "_bits", n_bits)
     packed = with_block_id(packed, "_o", block_size, rows_per_bucket).drop("_o")
     in_block = F.col("position") - F.col("block_id") * block_size

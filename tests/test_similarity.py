@@ -180,6 +180,14 @@ def test_pair_distributions(spark, block, tile, per_bucket):
     assert total == len(want["tanimoto"])
 
 
+def test_pairs_leave_out_rows_without_bits(spark):
+    df = spark.createDataFrame([(1, [1, 2]), (2, None), (3, [2, 70])], "id long, bits array<int>")
+    counts = pairs.pair_counts(pairs.pack_blocks(df, "id", n_bits=128, block_size=2)).collect()
+    assert sorted((r["size_a"], r["size_b"], r["common"], r["n"]) for r in counts) == [(2, 2, 1, 2), (2, 2, 2, 2)]
+    with pytest.raises(ValueError):
+        pairs.pack_blocks(df, "id", n_bits=10**6)
+
+
 def test_fingerprint(spark):
     texts = ["The quick  brown fox\njumps", "one two", "", None, "THE QUICK BROWN FOX JUMPS"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
