@@ -11,7 +11,7 @@ remaining candidates are compared in full.
 
 The number of candidates depends on how rare the rarest elements are.  Sets
 folded into few bits share most of them; a wide bit space (2**30) keeps the
-elements of long texts apart and the join close to linear.
+elements of long texts apart and the candidates few.
 """
 
 from __future__ import annotations
