@@ -189,8 +189,9 @@ def fit_licenses(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, notices: dict[
     unknown = unknown.unionByName(spark.createDataFrame([(t,) for t in FILLER], "paragraph string"))
     # a paragraph that agrees with any notice is no example of unknown text
     words = unknown.withColumn("words", _terms(F.col("paragraph"))).withColumn("_runs", _runs(F.col("words"), 3))
-    known = F.broadcast(templates.agg(F.flatten(F.flatten(F.collect_list("templates"))).alias("all"), F.lit(1).alias("one")))
-    clean = words.withColumn("one", F.lit(1)).join(known, "one").where(~F.arrays_overlap("_runs", "all")).select("paragraph")
+    # the notices are a fixed list, so their runs are one
+    known = sorted({run for r in templates.collect() for notice in r["templates"] for run in notice})
+    clean = words.where(~F.arrays_overlap("_runs", F.array(*[F.lit(run) for run in known]))).select("paragraph")
     held = F.pmod(F.xxhash64("paragraph"), F.lit(2)) == 1
     unknown = staged(clean.withColumn("held", held).coalesce(1), "unknown")
     rows = _variants(table).unionByName(unknown.where("NOT held").select(F.lit(UNKNOWN).alias("family"), "paragraph"))
