@@ -20,6 +20,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from assayspark.operators.spread import checked_broadcast
+
 from .common import BLANKS, staged, text_column
 
 SYMBOLS = "#*$%&|<>"
@@ -36,7 +38,8 @@ MIN_GROUP = 200
 #: Squared distance beyond which a document is rejected.  Lengths and rates of clean text have tails
 #: heavier than a normal distribution's, so this is far beyond its quantile at 0.999 (20.5).
 CUTOFF = 60.0
-_LEVELS = ("own", "lang", "all")
+#: Groups whose estimates are broadcast; beyond it they are joined by a shuffle.
+BROADCAST_GROUPS = 20_000
 
 
 def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
@@ -160,12 +163,12 @@ def robust_estimates(statistics: DataFrame, steps: int = STEPS, share: float = S
     """One estimate per level and group, with the number of its documents (n)."""
     keys = ["level", "g_lang", "g_source"]
     rows = _levels(_vector(statistics).select("lang", "source", *VECTOR)).select(*keys, *VECTOR)
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    sizes = rows.groupBy(*keys).agg(F.count("*").cast("double").alias("n"))
     found = _first_estimates(rows)
     for step in range(steps):
-        found = staged(found, "estimate")
-        far = _distance(rows.join(found, keys))
-        limit = staged(far.groupBy(*keys).agg(F.percentile_approx("distance", share, 1000).alias("limit")), "limit")
+        far = _distance(rows.join(checked_broadcast(staged(found, "estimate"), BROADCAST_GROUPS), keys))
+        limit = far.groupBy(*keys).agg(F.percentile_approx("distance", share, 1000).alias("limit"))
+        limit = checked_broadcast(staged(limit, "limit"), BROADCAST_GROUPS)
         found = _estimates(far.join(limit, keys).where(F.col("distance") <= F.col("limit")))
     return staged(found.join(sizes, keys), "estimate")
 
@@ -180,12 +183,13 @@ def _scored(stats: DataFrame, found: DataFrame, cutoff: float) -> DataFrame:
     estimate = F.struct(*parts)
     own = found.where(f"level = 'own' AND n >= {MIN_GROUP}").select("g_lang", "g_source", estimate.alias("e_own"))
     by_lang = found.where(f"level = 'lang' AND n >= {MIN_GROUP}").select("g_lang", estimate.alias("e_lang"))
-    overall = found.where("level = 'all'").select(F.lit("").alias("g_all"), estimate.alias("e_all"))
-    # one row, so a broadcast of it is bounded; the other two are as large as the number of groups
-    keyed = keyed.withColumn("g_all", F.lit("")).join(F.broadcast(overall), "g_all", "left").drop("g_all")
-    keyed = keyed.join(own, ["g_lang", "g_source"], "left").join(by_lang, ["g_lang"], "left")
-    keyed = keyed.withColumn("_e", F.coalesce("e_own", "e_lang", "e_all")).select("*", "_e.*")
-    keyed = keyed.drop("_e", "e_own", "e_lang", "e_all", "g_lang", "g_source", "n")
+    # a single row of numbers
+    overall = found.where("level = 'all'").select(*parts).first()
+    overall = F.struct(*[F.lit(overall[x] if overall else None).cast("double").alias(x) for x in parts])
+    keyed = keyed.join(checked_broadcast(own, BROADCAST_GROUPS), ["g_lang", "g_source"], "left")
+    keyed = keyed.join(checked_broadcast(by_lang, BROADCAST_GROUPS), ["g_lang"], "left")
+    keyed = keyed.withColumn("_e", F.coalesce("e_own", "e_lang", overall)).select("*", "_e.*")
+    keyed = keyed.drop("_e", "e_own", "e_lang", "g_lang", "g_source", "n")
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)
     return _distance(keyed).drop(*VECTOR).withColumn("kept", kept)
 
