@@ -161,7 +161,8 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
     """(k1, k2, spans): for each text the spans (start, n) of windows that occur elsewhere too."""
     schema = "k1 long, k2 long, start long, n long, anchor long, content long"
     found = staged(keyed.select("k1", "k2", "text").mapInArrow(_find_spans(window), schema), "spans")
-    twice = found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
+    # written first: a join of two plain shuffles can be split where an anchor is hot
+    twice = staged(found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "anchors")
     found = staged(found.join(twice, "anchor", "left_semi"), "seeds")
     some = {c: F.first(c).alias(c) for c in ("k1", "k2", "start", "n")}
     kinds = staged(found.groupBy("anchor", "content").agg(F.count("*").alias("times"), *some.values()), "kinds")
