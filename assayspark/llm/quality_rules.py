@@ -217,4 +217,6 @@ def quality_filter(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     found = robust_estimates(staged(stats, "statistics").where("NOT base_failed"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     again = text_statistics(_plain(docs.withColumn("doc_id", row))).withColumn("base_failed", base_failed())
-    return _scored(again, found, cutoff).where("kept").select("doc_id.*")
+    # a generated column: the filter stays above the scoring, which it would repeat once per use if pushed into it
+    scored = _scored(again, found, cutoff).select("doc_id", F.explode(F.array("kept")).alias("_kept"))
+    return scored.where("_kept").select("doc_id.*")
