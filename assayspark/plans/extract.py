@@ -36,6 +36,7 @@ def extract_compounds(
     act = tables["activities"].where(
         F.col("standard_type").isin(list(types))
         & F.col("standard_value").isNotNull()
+        & nan_to_null("standard_value").isNotNull()
         & (F.col("standard_units") == units)
         & matches_any("data_validity_comment", comment)
     )

@@ -172,11 +172,9 @@ def label_rows(df: DataFrame, key: str, target: str, sep: str = ",") -> DataFram
 
 
 def hash_tokens(
-    df: DataFrame, c: str, n_features: int = 2048, pattern: str = r"\S+", max_len: int | None = None, out: str = "features"
+    df: DataFrame, c: str, n_features: int = 2048, pattern: str = r"\S+", out: str = "features"
 ) -> DataFrame:
-    """Hashed token counts of the whole text; ``max_len`` keeps the first tokens only, for models with a fixed input."""
+    """Hashed token counts of the whole text."""
     tokens = F.regexp_extract_all(F.lower(F.col(c)), F.lit(pattern), F.lit(0))
-    if max_len is not None:
-        tokens = F.slice(tokens, 1, max_len)
     tf = HashingTF(inputCol="_tokens", outputCol=out, numFeatures=n_features)
     return tf.transform(df.withColumn("_tokens", F.coalesce(tokens, F.array().cast("array<string>")))).drop("_tokens")

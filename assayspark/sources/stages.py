@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only where nothing is configured, as in a local test, a temporary folder is
-    made and set for the context."""
+    Where nothing is configured, a session that runs in one process (``local[n]``) gets
+    a folder of its own; on a cluster that is an error, since executors would
+    not see each other's files."""
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
+    if current is None and configured is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if current is None:
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="assayspark-"))
         current = context.getCheckpointDir()
@@ -58,6 +63,11 @@ def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)
 
 
+def load_model(spark: SparkSession, path: str):
+    """A model saved by `save_model`, whatever its class."""
+    return DefaultParamsReader.loadParamsInstance(path, spark)
+
+
 def run_once(spark: SparkSession, path: str, build: Callable[[], object]) -> bool:
     """Fit and save a model unless ``path`` already holds one; says whether it ran."""
     if is_done(spark, path.rstrip("/") + "/metadata"):

@@ -259,3 +259,22 @@ def _(spark, sf):
     return load_table(spark, sf, "embeddings").select(
         "vec_id", X.argmax_index(v).alias("argmax"), r6(shifted).alias("shifted_sum")
     )
+
+
+@query("with_constant", "SELECT event_id, value, 'nM' AS unit FROM events")
+def _(spark, sf):
+    return filters.with_constant(load_table(spark, sf, "events").select("event_id", "value"), "unit", "nM")
+
+
+@query("with_computed", "SELECT p_partkey, length(p_name)::INT AS n_chars, upper(p_name) AS upper_name FROM part")
+def _(spark, sf):
+    rows = load_table(spark, sf, "part").select("p_partkey", "p_name")
+    return filters.with_computed(rows, {"n_chars": F.length("p_name"), "upper_name": F.upper("p_name")}).drop("p_name")
+
+
+@query("zip_to_map", "SELECT s_suppkey, s_name AS by_name, s_nationkey::VARCHAR AS by_nation FROM supplier")
+def _(spark, sf):
+    rows = load_table(spark, sf, "supplier")
+    pairs = X.zip_to_map(F.array(F.lit("name"), F.lit("nation")), F.array("s_name", F.col("s_nationkey").cast("string")))
+    found = rows.select("s_suppkey", pairs.alias("m"))
+    return found.select("s_suppkey", F.col("m")["name"].alias("by_name"), F.col("m")["nation"].alias("by_nation"))

@@ -90,7 +90,7 @@ def _(spark, sf):
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
 _TARGETS = """SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS target
-FROM events WHERE value > 60 GROUP BY user_id"""
+FROM events GROUP BY user_id"""
 _ML = f"""ml AS (SELECT user_id AS row_id, c::INT AS class_id, list_contains(string_split(target, ','), names[c + 1])::INT AS label,
   ((user_id * 37 + c * 11) % 101) / 100.0::DOUBLE AS score,
   (((user_id * 37 + c * 11) % 101) / 100.0::DOUBLE > 0.5)::INT AS predicted,
@@ -99,7 +99,7 @@ _ML = f"""ml AS (SELECT user_id AS row_id, c::INT AS class_id, list_contains(str
 
 
 def targets(spark, sf):
-    e = load_table(spark, sf, "events").where(F.col("value") > 60).select("user_id", "event_type").distinct()
+    e = load_table(spark, sf, "events").select("user_id", "event_type").distinct()
     return e.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_list("event_type")), ",").alias("target"))
 
 

@@ -11,7 +11,6 @@ from assayspark.operators import evaluate, ranking
 from assayspark.plans import models, prepare
 from assayspark.sources.stages import fresh_path
 from assayspark.sources.tables import load_table, spread_scan
-from catalog.evaluate import TYPES, targets
 from catalog.ranking import _RANKED
 from catalog.registry import query, r6, rounded
 from catalog.similar import bits_sql
@@ -90,14 +89,15 @@ def _(spark, sf):
 
 @query("fit_multilabel")
 def _(spark, sf):
-    """Event types of a user from hashed tokens of the user's events: all metrics per split."""
-    events = load_table(spark, sf, "events")
-    bag = events.groupBy("user_id").agg(
-        F.array_join(F.sort_array(F.collect_set(F.concat(F.col("event_type"), F.floor(F.col("value") / 20).cast("string")))), " ").alias("text")
+    """Quality and toxicity of documents from the hashed tokens of their texts: all metrics per split."""
+    marked = F.array_join(
+        F.filter(F.array(F.when(F.col("quality") == 1, "quality"), F.when(F.col("toxic") == 1, "toxic")), lambda x: x.isNotNull()), ","
     )
-    rows = prepare.binarize_labels(targets(spark, sf), "target", classes=TYPES).join(bag, "user_id")
-    rows = ranking.hash_split(prepare.hash_tokens(rows, "text", 256), "user_id")
-    pred = models.fit_multilabel(rows, "user_id", TYPES)
+    labels = load_table(spark, sf, "labels").select("doc_id", marked.alias("target"))
+    rows = load_table(spark, sf, "documents").select("doc_id", "text").join(labels, "doc_id")
+    rows = prepare.binarize_labels(rows, "target", classes=["quality", "toxic"])
+    rows = ranking.hash_split(prepare.hash_tokens(rows, "text", 256), "doc_id")
+    pred = models.fit_multilabel(rows, "doc_id", ["quality", "toxic"])
     out = evaluate.fold_metrics(pred.withColumn("fold", F.lit(0)))
     return rounded(out, 5)
 

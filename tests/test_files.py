@@ -132,3 +132,29 @@ def test_names_and_results(spark, tmp_path):
     for _ in range(2):
         files.append_results(one, str(tmp_path / "log"))
     assert files.read_tsv(spark, str(tmp_path / "log"), one.schema).collect() == [("a", 0.5), ("a", 0.5)]
+
+
+def test_saved_model_scores_alike_after_loading(spark, tmp_path):
+    from pyspark.ml.classification import NaiveBayes
+    from pyspark.ml.linalg import Vectors
+
+    from assayspark.sources import stages
+
+    points = [(0.0, Vectors.dense(1.0, 0.0)), (1.0, Vectors.dense(0.0, 3.0))] * 5
+    rows = spark.createDataFrame(points, ["label", "features"])
+    model = NaiveBayes().fit(rows)
+    stages.save_model(model, str(tmp_path / "nb"))
+    again = stages.load_model(spark, str(tmp_path / "nb"))
+    assert type(again) is type(model)
+    assert again.transform(rows).select("prediction").collect() == model.transform(rows).select("prediction").collect()
+
+
+def test_shared_folder_must_be_set_on_a_cluster():
+    from types import SimpleNamespace
+
+    from assayspark.sources import stages
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    context = SimpleNamespace(getConf=lambda: conf, getCheckpointDir=lambda: None, master="spark://head:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        stages.shared_dir(SimpleNamespace(sparkContext=context, conf=conf))
