@@ -88,12 +88,10 @@ def test_drop_constant_bits(spark):
     assert sorted(r["bits"] for r in prepare.drop_constant_bits(df, "bits", df).collect()) == [[], [3], [9]]
 
 
-def test_hash_tokens_reads_whole_text_unless_told(spark):
+def test_hash_tokens_reads_whole_text(spark):
     df = spark.createDataFrame([(" ".join(f"w{i}" for i in range(900)),), (None,)], "t string")
     whole = prepare.hash_tokens(df, "t", 4096).select(F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x)).collect()
     assert [r[0] for r in whole] == [900.0, 0.0]
-    first = prepare.hash_tokens(df, "t", 4096).select(F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x)).first()
-    assert first[0] == 512.0
 
 
 def test_require_target(spark):
