@@ -10,8 +10,10 @@ forest of the pairs left, not the pairs, and its components are families, which
 In each family the full sets are compared, sets already connected are not compared again, and a
 spanning forest of the confirmed links leaves the task.
 
-Large buckets and families are dealt out as pairs of chunks, so no task holds a whole group, and what a task sends on
-grows with its rows, not with their pairs.
+Large buckets and families are dealt out in chunks, so no task holds a whole group.  First each chunk is compared inside and
+with one chunk of pivots, which connects a group of copies at a cost that grows with its rows.  What that leaves outside a
+group's largest component is then compared with everything in the group, chunk by chunk; rows that are connected
+already do not meet again.  No link is lost, and what a task sends on grows with its rows, not with their pairs.
 
 Defined results: null or empty texts have no shingles, are linked with nothing and are their own component; texts with fewer
 than five words are one shingle, the whole sequence.  A row with a null doc_id is never linked and its component is null, kept is true.
@@ -39,7 +41,7 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 #: Standard deviations that the number of differing samples may exceed its mean at the threshold by.
 MARGIN = 6.0
-#: Rows in a chunk of a bucket or family.
+#: Rows in a chunk of a bucket or family; chunks bound the work of a task, not the results.
 CHUNK = 512
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -123,24 +125,47 @@ def signatures(docs: DataFrame) -> DataFrame:
     return narrow.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch binary, bands array<long>")
 
 
-def chunked(rows: DataFrame, group: str, size: str, by: str) -> DataFrame:
-    """Deal each group out as pairs of chunks: adds ``block`` (group and pair) and ``side`` (0, 1, or 2 for both).
-
-    A group of ``size`` rows has k = ceil(size / CHUNK) chunks by hash; a row goes to the k blocks of
-    its chunk, where every two rows of the group meet once at least."""
-    k = F.ceil(F.col(size) / F.lit(CHUNK)).cast("int")
-    out = rows.withColumn("_k", k).withColumn("_chunk", F.pmod(F.xxhash64(by, group), F.col("_k")).cast("int"))
-    out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+def first_blocks(rows: DataFrame, group: str) -> DataFrame:
+    """First pass: adds ``block`` (inside the group) and ``side`` (2 meets all rows of its block, 0 only others).
+
+    A group of ``size`` rows has ceil(size / CHUNK) chunks by hash.  A row goes to the block of its chunk; those of
+    the first chunk also go to all others, as pivots, so a group costs two rows for each of its own."""
+    out = rows.withColumn("_k", F.ceil(F.col("size") / F.lit(CHUNK)))
+    out = out.withColumn("_chunk", F.pmod(F.xxhash64("rep", group), F.col("_k")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)
+    out = out.withColumn("block", F.explode(F.when(F.col("_chunk") == 0, every).otherwise(F.array("_chunk"))))
+    return out.withColumn("side", F.when(F.col("block") == F.col("_chunk"), 2).otherwise(0)).drop("_k", "_chunk")
+
+
+def unsettled(rows: DataFrame, group: str) -> DataFrame:
+    """The rows of groups that are more than one component so far (``known``), with the group's largest (_main) and its rows (_n)."""
+    counts = rows.groupBy(group, "known").agg(F.count("*").alias("n"))
+    main = counts.groupBy(group).agg(F.max(F.struct("n", "known")).alias("m"), F.sum("n").alias("all"))
+    main = main.where("m.n < all").select(group, F.col("m.known").alias("_main"), F.col("m.n").alias("_n"))
+    # written first: a join of two plain inputs can be split where a group is hot
+    return rows.join(staged(main, "main"), group)
+
+
+def rest_blocks(rows: DataFrame, group: str) -> DataFrame:
+    """Second pass: rows outside the largest component meet each other and its chunks; its rows do not meet again."""
+    own = F.col("known") == F.col("_main")
+    out = rows.withColumns({"_rests": F.ceil((F.col("size") - F.col("_n")) / F.lit(CHUNK)), "_mains": F.ceil(F.col("_n") / F.lit(CHUNK))})
+    spread = F.xxhash64("rep", group)
+    chunk = F.when(own, F.col("_rests") + F.pmod(spread, F.col("_mains"))).otherwise(F.pmod(spread, F.col("_rests")))
+    last = F.when(own, F.col("_rests")).otherwise(F.col("_rests") + F.col("_mains")) - 1
+    out = out.withColumns({"_chunk": chunk, "_last": last})
+    out = out.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
     side = F.when(F.col("_other") == F.col("_chunk"), 2).when(F.col("_chunk") < F.col("_other"), 0).otherwise(1)
     block = F.xxhash64(group, F.least("_chunk", "_other"), F.greatest("_chunk", "_other"))
-    return out.withColumns({"side": side, "block": block}).drop("_k", "_chunk", "_other")
+    return out.withColumns({"side": side, "block": block}).drop("_rests", "_mains", "_main", "_n", "_chunk", "_last", "_other")
 
 
 class _Forest:
-    """Union-find over the rows of a block."""
+    """Union-find over the rows of a block, which starts with what is known to be connected."""
 
-    def __init__(self, n: int):
-        self.parent = list(range(n))
+    def __init__(self, known: list[int]):
+        first: dict[int, int] = {}
+        self.parent = [first.setdefault(c, i) for i, c in enumerate(known)]
 
     def root(self, i: int) -> int:
         while self.parent[i] != i:
@@ -196,7 +221,7 @@ def _sift(limit: int):
             ids = [r[0] for r in rows]
             sides = np.array([r[1] for r in rows])
             sketches = np.frombuffer(b"".join(r[2] for r in rows), np.uint64).reshape(len(rows), -1)
-            forest, pairs = _Forest(len(rows)), []
+            forest, pairs = _Forest([r[3] for r in rows]), []
             for i, near in _close(sketches, sides, limit):
                 pairs += [(ids[i], ids[j]) for j in near.tolist() if forest.join(i, j)]
             if pairs:
@@ -212,8 +237,8 @@ def _confirm(limit: int, threshold: int):
             ids = [r[0] for r in rows]
             sides = np.array([r[1] for r in rows])
             sketches = np.frombuffer(b"".join(r[2] for r in rows), np.uint64).reshape(len(rows), -1)
-            sets = [shingle_set(r[3]) for r in rows]
-            forest, pairs = _Forest(len(rows)), []
+            sets = [shingle_set(r[4]) for r in rows]
+            forest, pairs = _Forest([r[3] for r in rows]), []
             for i, near in _close(sketches, sides, limit):
                 for j in near.tolist():
                     small, large = sorted((len(sets[i]), len(sets[j])))
@@ -228,6 +253,27 @@ def _confirm(limit: int, threshold: int):
     return run
 
 
+def _connected(rows: DataFrame, group: str, compare, attach=lambda rows: rows) -> DataFrame:
+    """(node, component) of ``rows`` (rep, group, size, sketch) that ``compare`` links inside their groups.
+
+    Every two rows of a group meet, but for those that the first pass has connected.  ``attach`` adds what ``compare`` reads besides."""
+
+    def links(blocks: DataFrame) -> DataFrame:
+        more = [c for c in blocks.columns if c not in (group, "block", "rep", "side", "sketch", "known", "size")]
+        dealt = blocks.select(group, "block", "rep", "side", "sketch", "known", *more)
+        dealt = dealt.repartition(group, "block").sortWithinPartitions(group, "block", "rep")
+        return dealt.mapInArrow(compare, "a long, b long")
+
+    found = components(links(first_blocks(attach(rows.withColumn("known", F.col("rep"))), group)))
+    so_far = found.select(F.col("node").alias("rep"), F.col("component").alias("known"))
+    large = rows.where(F.col("size") > CHUNK).join(so_far, "rep", "left").withColumn("known", F.coalesce("known", "rep"))
+    rest = staged(unsettled(large, group), "rest")
+    if rest.isEmpty():
+        return found
+    more = links(rest_blocks(attach(rest), group))
+    return components(more.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+
 def _families(classes: DataFrame, limit: int) -> DataFrame:
     """(node, component) over classes that share a bucket and are near by their sketches."""
     spread = classes.select("rep", F.explode("bands").alias("bucket"))
@@ -235,9 +281,7 @@ def _families(classes: DataFrame, limit: int) -> DataFrame:
     shared = spread.join(sizes, "bucket").groupBy("rep").agg(F.collect_list(F.struct("bucket", "size")).alias("buckets"))
     members = classes.select("rep", "sketch").join(shared, "rep").select("rep", "sketch", F.explode("buckets").alias("b"))
     members = members.select("rep", "sketch", F.col("b.bucket").alias("bucket"), F.col("b.size").alias("size"))
-    blocks = chunked(members, "bucket", "size", "rep").select("bucket", "block", "rep", "side", "sketch")
-    blocks = blocks.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "rep")
-    return components(blocks.mapInArrow(_sift(limit), "a long, b long"))
+    return _connected(staged(members, "members"), "bucket", _sift(limit))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -250,14 +294,11 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     classes = signed.join(first.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"])
     classes = classes.dropDuplicates(["doc_id", "digest"]).withColumnRenamed("doc_id", "rep")
     family = _families(classes, limit)
-    sizes = family.groupBy("component").agg(F.count("*").alias("size"))
+    sizes = staged(family.groupBy("component").agg(F.count("*").alias("size")), "sizes")
     members = family.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("family"), "size")
-    members = classes.select("rep", "sketch", "n_shingles").join(members, "rep")
+    members = staged(classes.select("rep", "sketch").join(members, "rep"), "members")
     text = docs.select(F.col("doc_id").cast("long").alias("rep"), text_column(docs).cast("binary").alias("text")).where("rep IS NOT NULL")
-    members = members.join(text, "rep")
-    blocks = chunked(members, "family", "size", "rep").select("family", "block", "rep", "side", "sketch", "text")
-    blocks = blocks.repartition("family", "block").sortWithinPartitions("family", "block", "rep")
-    linked = components(blocks.mapInArrow(_confirm(limit, threshold), "a long, b long"))
+    linked = _connected(members, "family", _confirm(limit, threshold), lambda rows: rows.join(text, "rep"))
     named = first.join(linked.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("digest", F.coalesce("component", "rep").alias("_component"))
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")

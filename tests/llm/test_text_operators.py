@@ -149,6 +149,18 @@ def test_large_groups_are_dealt_out_and_stay_whole(spark, monkeypatch):
     assert got == brute_components(copies)
 
 
+def test_chains_across_chunks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CHUNK", 3)
+    rng = random.Random(12)
+    chains = []
+    for _ in range(2):  # each text is linked with its neighbours in the chain only
+        words = sentence(rng, 400).split()
+        chains += [" ".join(words[i : i + 100]) for i in range(0, 240, 6)]
+    rng.shuffle(chains)
+    got = [tuple(r) for r in near_dedup.near_duplicates(table(spark, chains)).orderBy("doc_id").collect()]
+    assert got == brute_components(chains) and len({r[2] for r in got}) == 2
+
+
 def test_near_duplicates_of_repeated_and_null_ids(spark):
     long = sentence(random.Random(1), 30)
     got = near_dedup.near_duplicates(table(spark, [long, long, long, "a"], ids=[4, 4, None, 9])).collect()
