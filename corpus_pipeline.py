@@ -9,6 +9,9 @@ from assayspark.llm.queries import _vocabulary
 from assayspark.sources.stages import fresh_path
 from assayspark.sources.tables import load_table
 
+#: Percent of shingles that two documents share to be near-duplicates here.
+NEAR = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
@@ -17,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return near_dedup.keep_one(docs)
+    return near_dedup.keep_one(docs, NEAR)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

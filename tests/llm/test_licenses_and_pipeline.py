@@ -71,6 +71,20 @@ def test_pipeline_stages(spark, sf):
     assert last.count() == masked.count() and last.where("NOT exact").count() == 0
 
 
+def test_near_duplicates_of_the_pipeline_share_four_fifths(spark, sf):
+    def text(name, edits=0):
+        words = [f"{name}{i}" for i in range(200)]
+        for k in range(edits):
+            words[20 + 30 * k] = f"edit{k}"
+        return " ".join(words)
+
+    # 4 edits: 176 of 216 shingles (0.81); 5 edits: 171 of 221 (0.77)
+    rows = [(1, text("a")), (2, text("a", 4)), (3, text("b")), (4, text("b", 5)), (5, text("a")), (6, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()}
+    assert got == {1, 3, 4, 6, 7}
+
+
 def test_entry_lists_all_queries():
     entry = importlib.import_module("__spark_entry__")
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
