@@ -8,8 +8,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayspark.operators import evaluate, ranking
+from assayspark.operators.spread import checked_broadcast
 from assayspark.plans import models, prepare
-from assayspark.sources.stages import fresh_path
+from assayspark.sources.stages import fresh_path, load_model
 from assayspark.sources.tables import load_table, spread_scan
 from catalog.ranking import _RANKED
 from catalog.registry import query, r6, rounded
@@ -17,7 +18,7 @@ from catalog.similar import bits_sql
 
 
 def labelled_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """(vec_id, features, label, split): embeddings scaled to [0, 1] on the training rows, labels indexed."""
+    """(vec_id, features, label, split, target): embeddings scaled to [0, 1] on the training rows, labels indexed."""
     e = load_table(spark, sf, "embeddings")
     rows = e.select(
         "vec_id", prepare.vector_from_array("embedding").alias("raw_features"), F.col("label").cast("string").alias("target")
@@ -26,7 +27,7 @@ def labelled_vectors(spark: SparkSession, sf: str) -> DataFrame:
     train = rows.where(F.col("split") == "train")
     stages = [prepare.label_indexer(), prepare.minmax_scaler()]
     out = Pipeline(stages=stages).fit(train).transform(prepare.require_target(rows))
-    return prepare.clip_unit(out.select("vec_id", "features", "label", "split"))
+    return prepare.clip_unit(out.select("vec_id", "features", "label", "split", "target"))
 
 
 def shown(results: DataFrame) -> DataFrame:
@@ -119,12 +120,13 @@ def _(spark, sf):
     return out.select("vec_id", *[r6(parts[i]).alias(f"pc{i}") for i in range(4)])
 
 
-_MINMAX = """WITH e AS (SELECT vec_id, label, list_transform(embedding::FLOAT[], lambda x: x::DOUBLE) AS v FROM embeddings),
+_SCALED = """WITH e AS (SELECT vec_id, label, list_transform(embedding::FLOAT[], lambda x: x::DOUBLE) AS v FROM embeddings),
 t AS (SELECT vec_id, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5('42|' || vec_id))
   <= floor(count(*) OVER (PARTITION BY label) * 0.8 + 0.5) THEN 'train' ELSE 'test' END AS split FROM e),
 u AS (SELECT vec_id, split, unnest(range(64)) AS i, unnest(v) AS x FROM e JOIN t USING (vec_id)),
-r AS (SELECT i, min(x) AS a, max(x) AS b FROM u WHERE split = 'train' GROUP BY i)
-SELECT vec_id, split, round(sum(least(greatest((x - a) / (b - a), 0), 1)), 6) AS feature_sum FROM u JOIN r USING (i) GROUP BY ALL"""
+r AS (SELECT i, min(x) AS a, max(x) AS b FROM u WHERE split = 'train' GROUP BY i),
+f AS (SELECT vec_id, split, i, least(greatest((x - a) / (b - a), 0), 1) AS x FROM u JOIN r USING (i))"""
+_MINMAX = _SCALED + " SELECT vec_id, split, round(sum(x), 6) AS feature_sum FROM f GROUP BY ALL"
 
 
 @query("scaled_features", _MINMAX)
@@ -135,6 +137,66 @@ def _(spark, sf):
     return rows.select("vec_id", "split", r6(total).alias("feature_sum"))
 
 
+@query(
+    "naive_bayes_predictions",
+    _SCALED
+    + """, c AS (SELECT label, i, sum(x) AS s FROM f JOIN e USING (vec_id) WHERE split = 'train' GROUP BY ALL),
+n AS (SELECT label, count(*) AS n FROM t JOIN e USING (vec_id) WHERE split = 'train' GROUP BY label),
+p AS (SELECT label, ln(n + 1) - ln(sum(n) OVER () + count(*) OVER ()) AS prior FROM n),
+w AS (SELECT label, i, ln(s + 1) - ln(sum(s) OVER (PARTITION BY label) + 64) AS weight FROM c),
+g AS (SELECT vec_id, split, w.label, any_value(prior) + sum(x * weight) AS score FROM f JOIN w USING (i) JOIN p ON p.label = w.label GROUP BY ALL)
+SELECT vec_id, split, arg_max(label, score)::VARCHAR AS predicted, round(max(score), 4) AS log_likelihood FROM g GROUP BY ALL""",
+)
+def _(spark, sf):
+    """The class that naive Bayes gives each row, and the joint log likelihood of row and class."""
+    data = labelled_vectors(spark, sf).persist()
+    bayes, _ = models.models()["Naive Bayes"]
+    scored = bayes.fit(data.where(F.col("split") == "train")).transform(data)
+    names = data.select(F.col("label").alias("prediction"), F.col("target").alias("predicted")).distinct()
+    best = F.round(F.array_max(vector_to_array("rawPrediction")), 4)
+    out = scored.select("vec_id", "split", "prediction", best.alias("log_likelihood"))
+    return out.join(checked_broadcast(names), "prediction").drop("prediction")
+
+
+@query(
+    "reloaded_models",
+    """SELECT model, split, count(*) AS n_rows, 0::BIGINT AS n_different
+FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || vec_id)) AS rk, count(*) OVER (PARTITION BY label) AS n
+  FROM embeddings), (VALUES ('Naive Bayes'), ('Decision Tree')) AS m(model),
+LATERAL (SELECT CASE WHEN rk <= floor(n * 0.8 + 0.5) THEN 'train' ELSE 'test' END AS split) GROUP BY ALL""",
+)
+def _(spark, sf):
+    """Two models are fitted, saved and loaded: rows that the loaded ones judge, and rows that they judge differently."""
+    data = labelled_vectors(spark, sf).persist()
+    chosen = {n: m for n, m in models.models().items() if n in ("Naive Bayes", "Decision Tree")}
+    done = models.train_and_evaluate(data, "vec_id", chosen)
+    path = fresh_path(spark, "models")
+    out = None
+    for name in done.save_best(path, 2):
+        loaded = load_model(spark, f"{path}/model_{name.replace(' ', '_').lower()}").transform(data)
+        one = loaded.select(F.lit(name).alias("model"), "vec_id", F.col("prediction").alias("again"))
+        out = one if out is None else out.unionByName(one)
+    both = done.predictions.join(out, ["model", "vec_id"])
+    return both.groupBy("model", "split").agg(
+        F.count("*").alias("n_rows"), F.count_if(~F.col("prediction").eqNullSafe(F.col("again"))).alias("n_different")
+    )
+
+
+@query(
+    "pca_norms",
+    """WITH e AS (SELECT vec_id, list_transform(embedding::FLOAT[], lambda x: x::DOUBLE) AS v FROM embeddings),
+u AS (SELECT vec_id, unnest(range(64)) AS i, unnest(v) AS x FROM e),
+m AS (SELECT i, avg(x) AS a, stddev_samp(x) AS d FROM u GROUP BY i)
+SELECT vec_id, round(sum(((x - a) / d) ** 2), 4) AS squared_norm FROM u JOIN m USING (i) GROUP BY vec_id""",
+)
+def _(spark, sf):
+    """The projection on all 64 principal directions keeps the length of every standardised row."""
+    rows = load_table(spark, sf, "embeddings").select("vec_id", prepare.vector_from_array("embedding").alias("raw_features"))
+    out = prepare.standard_pca(64).fit(rows).transform(rows)
+    norm = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x * x)
+    return out.select("vec_id", F.round(norm, 4).alias("squared_norm"))
+
+
 @query(
     "assemble_features",
     "SELECT p_partkey, round(p_size + p_retailprice + p_partkey, 6) AS total FROM part",
