@@ -6,11 +6,13 @@ by an item of n words if some part of it is within ``floor(MAX_RATIO * n)`` word
 The CGK embedding walks over a sequence: at step j it writes the word under the pointer and moves on by one if a random
 function of (j, word) says so.  Two walks with the same function over sequences at a small edit distance come together again
 after an edit, so the written sequences are at a small Hamming distance.  Bit-sampling LSH picks a few
-steps; a window and an item are candidates if they wrote the same words there.  ``REPETITIONS`` walks with own functions and
-own samples bring the recall for items at the limit to the target (the tests measure it).
+steps; a window and a piece of an item are candidates if they wrote the same words there.  The pieces, ``PIECE`` words each, begin
+every ``STRIDE`` words and the last ends with the item, so edits that crowd at its start, middle or end leave others
+whole; a walk has fewer steps than its piece has words, so a piece that is whole is always found.  Items of fewer than ``2 * PIECE`` words
+have shorter pieces, one at each word: one edit leaves one of them whole.  ``REPETITIONS`` walks with own functions and
+own samples bring the recall for edits that are spread over the item to the target (the tests measure it).
 A walk starts at every word of every document, and its samples are looked up one by one: a window whose
-words so far belong to no item is given up, which changes nothing but the work.  Items longer than ``PIECE`` words
-are looked for by pieces: one piece has no larger share of edits than the item.
+words so far belong to no piece is given up, which changes nothing but the work.
 
 Candidates are confirmed exactly: first a bound (the words that the window shares with the item), then the edit distance.
 
@@ -36,22 +38,20 @@ from .common import mix, packs, text_column, word_hashes
 #: Edits that are allowed, as a share of the item's words.
 MAX_RATIO = 0.2
 REPETITIONS = 12
-#: Steps that are sampled in a repetition.
-SAMPLED = 3
-#: Words from which on an item is cut into pieces.
-PIECE = 40
-#: Steps of a walk that may be sampled.
-MOST_STEPS = 56
-#: Steps that the first two samples come from; they lie close together, so most windows are given up early.
-EARLY_STEPS = 10
-#: Repetitions whose early bits share an integer.
-PACKED = 6
+#: Words of a piece, at most; a walk over one has as many steps.
+PIECE = 8
+#: Words between the beginnings of pieces.
+STRIDE = 3
+#: Repetitions whose random bits share an integer.
+PACKED = 64 // PIECE
 #: Text of benchmark items that goes to the tasks at a time.
 BLOCK_BYTES = 4 << 20
 _TO_BLANKS = bytes(
     b if b >= 128 or chr(b).isalnum() and not chr(b).isupper() else ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(256)
 )
 _PAD = np.uint64(0x5851F42D4C957F2D)
+#: Odd factor that takes a key on to the next sampled word.
+_NEXT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_in(text: bytes | None) -> list[bytes]:
@@ -74,18 +74,28 @@ def _seed(n: int) -> np.uint64:
     return np.uint64(n * 0xD6E8FEB86659FD93 % 2**64)
 
 
-def _early(hashes: np.ndarray) -> list[np.ndarray]:
-    """The random bits of each word for the first EARLY_STEPS steps, of PACKED repetitions to an integer."""
+def _randoms(hashes: np.ndarray) -> list[np.ndarray]:
+    """The random bits of each word for all steps, of PACKED repetitions to an integer."""
     return [mix(hashes ^ _seed(1000 + i)) for i in range(-(-REPETITIONS // PACKED))]
 
 
-def _moves(hashes: np.ndarray, early: list[np.ndarray], at, repetition: int, step: int) -> np.ndarray:
+def _moves(randoms: list[np.ndarray], at, repetition: int, step: int) -> np.ndarray:
     """Whether the walk moves on from the words ``at``."""
-    if step < EARLY_STEPS:
-        bits = early[repetition // PACKED][at] >> np.uint64(repetition % PACKED * EARLY_STEPS + step)
-    else:
-        bits = mix(hashes[at] ^ _seed(repetition + 1)) >> np.uint64(step)
-    return (bits & np.uint64(1)).astype(np.int32)
+    bits = randoms[repetition // PACKED].take(at) >> np.uint64(repetition % PACKED * PIECE + step)
+    return (bits & np.uint64(1)).view(np.int64)
+
+
+def piece_length(n: int) -> int:
+    """Words of the pieces of an item of n words: one edit leaves half of a short item whole."""
+    return min(PIECE, n if n < 5 else n // 2)
+
+
+def piece_offsets(n: int) -> list[int]:
+    """Where the pieces of an item of n words begin: from its first word to where the last piece ends with it."""
+    if not n:
+        return []
+    last = n - piece_length(n)
+    return sorted({*range(0, last + 1, STRIDE if piece_length(n) == PIECE else 1), last})
 
 
 def _bitmap(hashes: np.ndarray) -> np.ndarray:
@@ -103,95 +113,63 @@ class Items:
         self.words = [word_hashes(words_in(t)) for _, t in rows]
         self.known = [_bitmap(w) for w in self.words]
         self.edits = [int(ratio * len(w)) for w in self.words]
-        self.pieces = []  # (item, offset)
-        for i, words in enumerate(self.words):
-            parts = max(1, len(words) // PIECE) if len(words) else 0
-            self.pieces += [(i, len(words) * k // parts) for k in range(parts)]
-        by_class: dict[int, list[int]] = {}
-        for p, (i, offset) in enumerate(self.pieces):
-            by_class.setdefault(self._size_class(self._length(i, offset)), []).append(p)
-        self.classes = sorted(by_class.items())
+        self.pieces = [(i, offset) for i, words in enumerate(self.words) for offset in piece_offsets(len(words))]
+        # the words of all items in a row, for the walks
+        self.flat = np.concatenate([np.zeros(0, np.uint64), *self.words])
+        self.randoms = _randoms(self.flat)
+        begins = np.cumsum([0, *(len(w) for w in self.words)])
+        by_length: dict[int, list[int]] = {}
+        for p, (i, _) in enumerate(self.pieces):
+            by_length.setdefault(piece_length(len(self.words[i])), []).append(p)
+        self.classes = [
+            (length, np.array(members), np.array([begins[self.pieces[p][0]] + self.pieces[p][1] for p in members]))
+            for length, members in sorted(by_length.items())
+        ]
         self.tables = [self._table(r) for r in range(REPETITIONS)]
 
-    def _length(self, item: int, offset: int) -> int:
-        return min(PIECE, len(self.words[item]) - offset)
-
     @staticmethod
-    def _size_class(length: int) -> int:
-        return int(np.log(length) / np.log(1.5) + 1e-9)
-
-    @staticmethod
-    def steps(size_class: int, repetition: int) -> list[int]:
-        """The sampled steps of a class, ascending; the first two are the same for all classes that reach them."""
-        reach = max(1, min(MOST_STEPS, int(1.5 * 1.5**size_class)))
-        first = min(repetition % 4, reach - 1)
-        second = min(first + 1 + repetition // 4 % 4, reach - 1)
-        later = np.arange(second + 1, reach)
-        rng = np.random.default_rng([repetition, size_class])
-        return sorted({first, second, *rng.choice(later, min(SAMPLED - 2, len(later)), replace=False).tolist()})
-
-    def _table(self, repetition: int):
-        """Classes by their first two steps; for each the bitmaps of those, and per class the steps, keys and pieces."""
-        groups: dict[tuple, list] = {}
-        for size_class, members in self.classes:
-            steps = self.steps(size_class, repetition)
-            written = np.empty((len(members), len(steps)), np.uint64)
-            for row, p in enumerate(members):
-                i, offset = self.pieces[p]
-                words = np.append(self.words[i][offset:], _PAD)
-                early = _early(words)
-                at = 0
-                for step in range(steps[-1] + 1):
-                    if step in steps:
-                        written[row, steps.index(step)] = words[at]
-                    if at < len(words) - 1:
-                        at += int(_moves(words, early, np.array([at]), repetition, step)[0])
-            keys = [mix(written[:, 0])]
-            for k in range(1, len(steps)):
-                keys.append(mix(keys[-1] + written[:, k]))
-            order = np.argsort(keys[-1], kind="stable")
-            bitmaps, classes = groups.setdefault(tuple(steps[:2]), ([np.zeros(1 << 16, bool) for _ in steps[:2]], []))
-            for bitmap, key in zip(bitmaps, keys):
-                bitmap |= _bitmap(key)
-            classes.append((steps, keys[-1][order], np.array(members)[order]))
-        return list(groups.items())
+    def steps(length: int, repetition: int) -> list[int]:
+        """The sampled steps of pieces of a length, ascending: the first one and two more, so that no walk leaves its piece before them."""
+        return sorted({min(s, length - 1) for s in (0, 1 + repetition % 4, PIECE - 1 - repetition // 4 % 3)})
+
+    def _table(self, repetition: int) -> list[tuple]:
+        """For each length of pieces the steps, the bitmaps of the keys up to each, the whole keys and their pieces."""
+        out = []
+        for length, members, at in self.classes:
+            steps = self.steps(length, repetition)
+            key, bitmaps = self.flat[at], []
+            for step in range(steps[-1] + 1):
+                if step in steps:
+                    key = key * _NEXT + self.flat[at] if step else key
+                    bitmaps.append(_bitmap(key))
+                if step < steps[-1]:
+                    at = at + _moves(self.randoms, at, repetition, step)
+            order = np.argsort(key, kind="stable")
+            out.append((steps, bitmaps, key[order], members[order]))
+        return out
 
 
 def _candidates(items: Items, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(window start, piece) arrays: windows that agree with a piece in all sampled steps of a repetition.
 
-    ``hashes`` ends with a pad, on which walks stay."""
-    last = np.int32(len(hashes) - 1)
-    early = _early(hashes)
-    mixed = mix(hashes)
-    top = (mixed >> np.uint64(48)).astype(np.int32)
-    everywhere = np.arange(last, dtype=np.int32)
-    for repetition, groups in enumerate(items.tables):
-        for shared, (bitmaps, classes) in groups:
-            pointer = everywhere
-            for step in range(shared[0]):
-                bits = _moves(hashes, early, slice(None), repetition, step)
-                bits[last] = 0
-                pointer = pointer + bits[pointer]
-            start = np.flatnonzero(bitmaps[0][top[pointer]])
-            at = pointer[start]
-            key = mixed[at]
-            for k in range(1, len(shared)):
-                for step in range(shared[k - 1], shared[k]):
-                    at = np.minimum(at + _moves(hashes, early, at, repetition, step), last)
-                key = mix(key + hashes[at])
-                alive = bitmaps[k][(key >> np.uint64(48)).astype(np.int32)]
-                start, at, key = start[alive], at[alive], key[alive]
-            for steps, keys, members in classes:
-                spot, full, from_step = at, key, steps[len(shared) - 1]
-                for k in range(len(shared), len(steps)):
-                    for step in range(from_step, steps[k]):
-                        spot = np.minimum(spot + _moves(hashes, early, spot, repetition, step), last)
-                    full, from_step = mix(full + hashes[spot]), steps[k]
-                lo, hi = np.searchsorted(keys, full, "left"), np.searchsorted(keys, full, "right")
-                for shift in range(int((hi - lo).max(initial=0))):
-                    more = lo + shift < hi
-                    yield start[more], members[lo[more] + shift]
+    ``hashes`` ends with PIECE pads, so that no walk runs out."""
+    randoms = _randoms(hashes)
+    top = (hashes[: len(hashes) - PIECE] >> np.uint64(48)).astype(np.int32)
+    starts = [np.flatnonzero(bitmaps[0].take(top)) for _, bitmaps, _, _ in items.tables[0]]
+    first = [hashes.take(s) for s in starts]
+    for repetition, classes in enumerate(items.tables):
+        for (steps, bitmaps, keys, members), start, key in zip(classes, starts, first):
+            at = start
+            for k in range(1, len(steps)):
+                for step in range(steps[k - 1], steps[k]):
+                    at = at + _moves(randoms, at, repetition, step)
+                key = key * _NEXT + hashes.take(at)
+                alive = np.flatnonzero(bitmaps[k].take((key >> np.uint64(48)).astype(np.int32)))
+                start, at, key = start.take(alive), at.take(alive), key.take(alive)
+            lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+            for shift in range(int((hi - lo).max(initial=0))):
+                more = lo + shift < hi
+                yield start[more], members[lo[more] + shift]
 
 
 def find_items(items: Items, texts: list[list[bytes]]) -> list[list[tuple[int, int]]]:
@@ -200,7 +178,7 @@ def find_items(items: Items, texts: list[list[bytes]]) -> list[list[tuple[int, i
     hits: list[dict[int, int]] = [{} for _ in texts]
     if not sizes.sum() or not items.pieces:
         return [[] for _ in texts]
-    hashes = np.append(word_hashes([w for t in texts for w in t]), _PAD)
+    hashes = np.append(word_hashes([w for t in texts for w in t]), np.full(PIECE, _PAD))
     ends = np.cumsum(sizes)
     seen: list[np.ndarray] = []
     for start, piece in _candidates(items, hashes):

@@ -427,6 +427,23 @@ def test_recall_of_edited_items():
     assert not any(decontamination.find_items(block, clean))
 
 
+def test_recall_of_edits_at_the_start_the_middle_and_the_end():
+    rng = random.Random(10)
+    items = [(i, sentence(rng, n).encode()) for i, n in enumerate([*range(1, 60), *range(60, 150, 9)])]
+    block = decontamination.Items(items, decontamination.MAX_RATIO)
+    for place in (0.0, 0.5, 1.0):
+        for kind in ("other", "missing"):
+            texts = []
+            for _, raw in items:
+                words = raw.split()
+                edits = int(decontamination.MAX_RATIO * len(words))
+                at = int(place * (len(words) - edits))
+                words[at : at + edits] = [b"other"] * edits if kind == "other" else []
+                texts.append(sentence(rng, 30).encode().split() + words + sentence(rng, 30).encode().split())
+            found = decontamination.find_items(block, texts)
+            assert [i for i, _ in items if not any(x == i for x, _ in found[i])] == []
+
+
 def test_contamination_of_tables(spark, texts):
     items = [(1, texts[10]), (2, texts[10]), (None, texts[12]), (3, None), (4, ""), (5, "not anywhere in any of these texts at all")]
     bench = spark.createDataFrame(items, "item_id long, text string")
