@@ -51,10 +51,9 @@ def _(spark, sf):
 
 @query("save_best_models")
 def _(spark, sf):
-    """Fit the single-point models, save the two best, list their confusion counts."""
-    chosen = {n: m for n, m in models.models().items() if n in ("Random Forest", "Decision Tree", "Naive Bayes")}
-    done = models.train_and_evaluate(labelled_vectors(spark, sf), "vec_id", chosen)
-    saved = done.save_best(fresh_path(spark, "models"), 2)
+    """Fit all five models, save the three best, list their confusion counts."""
+    done = models.train_and_evaluate(labelled_vectors(spark, sf), "vec_id", models.models(), parallelism=8)
+    saved = done.save_best(fresh_path(spark, "models"))
     return done.confusions().where(F.col("model").isin(saved))
 
 
@@ -78,14 +77,14 @@ def _(spark, sf):
 
 @query("lr_deep_grid")
 def _(spark, sf):
-    """Two axes of the deep grid; `models.DEEP_GRID` has all seven (288 points)."""
+    """All seven axes of the deep grid: 288 points with five folds each."""
     data = labelled_vectors(spark, sf)
-    axes = {"regParam": [0.1, 0.001], "fitIntercept": [True, False]}
-    lr, grid = models.lr_deep_grid(axes)
+    lr, grid = models.lr_deep_grid()
     train = models.training_rows(ranking.stratified_folds(data.where(F.col("split") == "train"), "label", "vec_id"))
     cv = models.cross_validate(train, lr, grid, parallelism=8)
-    rows = [(p[lr.regParam], p[lr.fitIntercept], float(a)) for p, a in zip(grid, cv.avgMetrics)]
-    return rounded(spark.createDataFrame(rows, "reg_param double, fit_intercept boolean, accuracy double"))
+    rows = [(*[p[lr.getParam(n)] for n in models.DEEP_GRID], float(a)) for p, a in zip(grid, cv.avgMetrics)]
+    columns = "reg_param double, elastic_net_param double, max_iter int, tol double, fit_intercept boolean, standardization boolean, aggregation_depth int"
+    return rounded(spark.createDataFrame(rows, f"{columns}, accuracy double"))
 
 
 @query("fit_multilabel")
@@ -105,11 +104,11 @@ def _(spark, sf):
 
 @query("width_sweep")
 def _(spark, sf):
-    """Accuracy of two models for three fingerprint widths: language from character shingles."""
+    """Accuracy of all five models for all 18 fingerprint widths: language from character shingles."""
     docs = spread_scan(load_table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("target")))
     rows = ranking.stratified_split(docs, "target", "doc_id")
     rows = prepare.label_indexer().fit(rows).transform(rows)
-    return rounded(models.width_sweep(rows, "doc_id", "text", [16, 64, 256], k=2, unit="char"))
+    return rounded(models.width_sweep(rows, "doc_id", "text", candidates=list(models.models()), k=2, unit="char"))
 
 
 @query("standard_pca")

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from assayspark.operators import ranking
 from assayspark.plans import models, prepare
+from assayspark.plans.fixed import SWEEP_WIDTHS
 from assayspark.sources import stages
+from catalog import learn
+from catalog.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -97,3 +100,28 @@ def test_hash_tokens_reads_whole_text(spark):
 def test_require_target(spark):
     with pytest.raises(ValueError):
         prepare.require_target(spark.range(1).withColumn("target", F.lit(1)))
+
+
+def test_model_queries_run_the_whole_job(spark, sf, monkeypatch):
+    asked = {}
+
+    class Stop(Exception):
+        pass
+
+    def note(name):
+        def instead(*args, **kwargs):
+            asked[name] = (args, kwargs)
+            raise Stop
+
+        return instead
+
+    for query, part in (("lr_deep_grid", "cross_validate"), ("width_sweep", "width_sweep"), ("save_best_models", "train_and_evaluate")):
+        with monkeypatch.context() as patch:
+            patch.setattr(learn.models, part, note(query))
+            with pytest.raises(Stop):
+                QUERIES[query](spark, sf)
+    assert len(asked["lr_deep_grid"][0][2]) == 288
+    args, kwargs = asked["width_sweep"]
+    assert len(args) == 3 and "widths" not in kwargs and len(SWEEP_WIDTHS) == 18
+    assert set(kwargs["candidates"]) == set(models.models())
+    assert set(asked["save_best_models"][0][2]) == set(models.models())
