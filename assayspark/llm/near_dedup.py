@@ -1,8 +1,8 @@
 """Near-duplicates by MinHash: bands propose, odd sketches sift, full sets confirm.
 
 A document is its set of distinct five-word shingles (A-Z lower-cased).  Equal sets become one class first.  Each class gets
-``BANDS * ROWS`` MinHash samples.  Samples agree in a band for similar sets, so a pair with similarity
-0.85 misses every band with probability (1 - 0.85**ROWS)**BANDS, under 3e-7.  The samples are also folded into an odd
+bands of MinHash samples, as many as the threshold needs (``banding``).  Samples agree in a band for similar sets, so a pair with similarity
+0.85 misses all 33 bands of 6 with probability (1 - 0.85**6)**33, under 1.7e-7, and one with 0.8 all 39 bands of 5, under 1.9e-7.  The samples are also folded into an odd
 sketch, a bitmap of parities: the population count of the XOR of two sketches tells how many samples differ, and does so
 most precisely when few do.  Within a band bucket all sketches are compared; a pair is sifted out only if its count is
 beyond what six standard deviations allow at the threshold.  Buckets keep a spanning
@@ -21,7 +21,9 @@ result; further columns of the input are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,10 @@ from .common import components, mix, odd_numbers, packs, run_hashes, staged, tex
 SHINGLE = 5
 #: Similarity of a link: 100 * common >= THRESHOLD * union.
 THRESHOLD = 85
+#: Probability that a pair at the threshold may miss every band.
+MISS = 2e-7
+#: Bands and samples in each from a threshold of 85 on.
 BANDS, ROWS = 33, 6
-SAMPLES = BANDS * ROWS
 #: Bits of the odd sketch.
 SKETCH_BITS = 512
 #: Standard deviations that the number of differing samples may exceed its mean at the threshold by.
@@ -55,11 +59,26 @@ def shingle_set(text: bytes | None) -> np.ndarray:
     return np.unique(run_hashes(hashes, size, seed=size))
 
 
-def samples(shingles: np.ndarray) -> np.ndarray:
-    """The MinHash samples of a set: 32-bit minima under SAMPLES hash functions."""
+def banding(threshold: int = THRESHOLD) -> tuple[int, int]:
+    """Bands, and samples in each, with which a pair at the threshold is missed with a probability under MISS."""
+    if threshold >= 85:
+        return BANDS, ROWS
+    rows = ROWS - 1
+    return math.ceil(math.log(MISS) / math.log1p(-((threshold / 100) ** rows))), rows
+
+
+@lru_cache(maxsize=8)
+def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and shifts of n hash functions."""
+    factors = (odd_numbers(n, 11) >> np.uint64(31)).astype(np.uint32) | np.uint32(1)
+    return factors, (odd_numbers(n, 12) >> np.uint64(32)).astype(np.uint32)
+
+
+def samples(shingles: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
+    """The MinHash samples of a set: 32-bit minima under n hash functions."""
     low = (mix(shingles) >> np.uint64(32)).astype(np.uint32)
-    factors, shifts = _FACTORS, _SHIFTS
-    least = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
+    factors, shifts = _functions(n)
+    least = np.full(n, 0xFFFFFFFF, np.uint32)
     for start in range(0, len(low), 256):
         block = low[start : start + 256, None] * factors
         block ^= block >> np.uint32(15)
@@ -69,21 +88,17 @@ def samples(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
-_FACTORS = (odd_numbers(SAMPLES, 11) >> np.uint64(31)).astype(np.uint32) | np.uint32(1)
-_SHIFTS = (odd_numbers(SAMPLES, 12) >> np.uint64(32)).astype(np.uint32)
-
-
 def odd_sketch(least: np.ndarray) -> bytes:
     """Parities of the hashed (sample number, value) pairs."""
-    at = mix(least.astype(np.uint64) | (np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32))) % np.uint64(SKETCH_BITS)
+    at = mix(least.astype(np.uint64) | (np.arange(len(least), dtype=np.uint64) << np.uint64(32))) % np.uint64(SKETCH_BITS)
     odd = (np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
     return np.packbits(odd).tobytes()
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    rows = least.reshape(BANDS, ROWS).astype(np.uint64)
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for i in range(ROWS):
+def band_keys(least: np.ndarray, size: int = ROWS) -> np.ndarray:
+    rows = least.reshape(-1, size).astype(np.uint64)
+    keys = np.arange(len(rows), dtype=np.uint64)
+    for i in range(size):
         keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + rows[:, i])
     return keys.view(np.int64)
 
@@ -91,15 +106,18 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 def sketch_limit(threshold: int = THRESHOLD) -> int:
     """The largest XOR count that a pair at the threshold can be expected to have."""
     p = 1 - threshold / 100
-    differ = SAMPLES * p + MARGIN * (SAMPLES * p * (1 - p)) ** 0.5
+    n = math.prod(banding(threshold))
+    differ = n * p + MARGIN * (n * p * (1 - p)) ** 0.5
     flips = 2 * differ
     mean = SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** flips)
     return int(np.ceil(mean + 3 * (SKETCH_BITS / 4 * (1 - (1 - 4 / SKETCH_BITS) ** flips)) ** 0.5))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, digest, sketch, bands) of every row; the last three null for an empty set or a null id."""
 
+    n_bands, size = banding(threshold)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in packs(batches):
             ids = batch.column("doc_id")
@@ -110,10 +128,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                 if doc is None or not len(found):
                     digests.append(None), sketches.append(None), bands.append(None)
                     continue
-                least = samples(found)
+                least = samples(found, n_bands * size)
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()))
                 sketches.append(odd_sketch(least))
-                bands.append(band_keys(least))
+                bands.append(band_keys(least, size))
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "digest", "sketch", "bands"],
@@ -243,7 +261,7 @@ def _families(classes: DataFrame, limit: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     limit = sketch_limit(threshold)
-    signed = staged(signatures(docs), "signatures")
+    signed = staged(signatures(docs, threshold), "signatures")
     # equal sets: one class, named by its smallest id
     first = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     first = staged(first, "classes")

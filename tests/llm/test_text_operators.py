@@ -168,6 +168,22 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
     assert near_dedup.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_bands_and_sketch_limit_follow_the_threshold():
+    rng = np.random.default_rng(4)
+    for threshold, common_part in ((85, 850), (80, 800)):
+        bands, rows = near_dedup.banding(threshold)
+        assert (1 - (threshold / 100) ** rows) ** bands < 2e-7
+        limit = near_dedup.sketch_limit(threshold)
+        for _ in range(150):
+            # common_part of 1000 hashes are shared: the similarity of the threshold
+            pool = rng.integers(1, 2**63, 1000, dtype=np.uint64)
+            half = (1000 - common_part) // 2
+            a, b = (near_dedup.samples(np.delete(pool, slice(k * half, (k + 1) * half)), bands * rows) for k in (0, 1))
+            assert (near_dedup.band_keys(a, rows) == near_dedup.band_keys(b, rows)).any()
+            x, y = (np.frombuffer(near_dedup.odd_sketch(v), np.uint64) for v in (a, b))
+            assert np.bitwise_count(x ^ y).sum() <= limit
+
+
 def test_odd_sketch_limit_keeps_pairs_at_the_threshold():
     rng = np.random.default_rng(3)
     limit, worst = near_dedup.sketch_limit(), 0
