@@ -10,6 +10,7 @@ from assayspark.sources.tables import load_table
 from . import (
     byte_bpe,
     decontamination,
+    hard_negatives,
     license_scan,
     near_dedup,
     personal_data,
@@ -97,12 +98,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.totals(spark, rollup, ["load", "revise"])
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label").cast("long")
+    moved = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = hard_negatives.whole_numbers(load_table(spark, sf_dir, "embeddings"), vec_id, F.col("embedding"), moved)
+    return hard_negatives.mine(rows, vec_id % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_substring_dedup, op3_near_dedup, op4_sharding, op5_personal_data,
         op6_byte_bpe, op7_quality_rules, op8_decontamination, op9_url_filters, op10_token_counts,
+        op13_hard_negatives,
     )
 }
 
-ORACLE = {"op9_url_filters": url_filters.SQL}
+ORACLE = {"op9_url_filters": url_filters.SQL, "op13_hard_negatives": hard_negatives.SQL}
