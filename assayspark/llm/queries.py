@@ -9,6 +9,7 @@ from assayspark.sources.tables import load_table
 
 from . import (
     byte_bpe,
+    conversation_trie,
     decontamination,
     hard_negatives,
     license_scan,
@@ -98,6 +99,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.totals(spark, rollup, ["load", "revise"])
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = conversation_trie.conversations_of(load_table(spark, sf_dir, "conversations"))
+    conv_id = F.col("conv_id")
+    head = (F.crc32(conv_id.cast("string").cast("binary")) % 4).cast("int")
+    return conversation_trie.prefix_trie(conversation_trie.rebuild(own, conv_id - conv_id % 20, head))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec_id, label = F.col("vec_id"), F.col("label").cast("long")
     moved = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
@@ -110,8 +118,10 @@ QUERIES = {
     for f in (
         op1_license_scan, op2_substring_dedup, op3_near_dedup, op4_sharding, op5_personal_data,
         op6_byte_bpe, op7_quality_rules, op8_decontamination, op9_url_filters, op10_token_counts,
-        op13_hard_negatives,
+        op12_conversation_trie, op13_hard_negatives,
     )
 }
 
-ORACLE = {"op9_url_filters": url_filters.SQL, "op13_hard_negatives": hard_negatives.SQL}
+ORACLE = {
+    "op9_url_filters": url_filters.SQL, "op12_conversation_trie": conversation_trie.SQL, "op13_hard_negatives": hard_negatives.SQL,
+}
