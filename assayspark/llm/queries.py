@@ -12,6 +12,7 @@ from . import (
     conversation_trie,
     decontamination,
     hard_negatives,
+    language_id,
     license_scan,
     near_dedup,
     personal_data,
@@ -99,6 +100,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.totals(spark, rollup, ["load", "revise"])
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    model = language_id.fit_languages(docs, ~held_out & F.col("doc_id").isNotNull(), F.col("doc_id"))
+    found = language_id.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = conversation_trie.conversations_of(load_table(spark, sf_dir, "conversations"))
     conv_id = F.col("conv_id")
@@ -118,7 +127,7 @@ QUERIES = {
     for f in (
         op1_license_scan, op2_substring_dedup, op3_near_dedup, op4_sharding, op5_personal_data,
         op6_byte_bpe, op7_quality_rules, op8_decontamination, op9_url_filters, op10_token_counts,
-        op12_conversation_trie, op13_hard_negatives,
+        op11_language_id, op12_conversation_trie, op13_hard_negatives,
     )
 }
 
