@@ -49,12 +49,16 @@ def shingles(c: str | Column, k: int = 3, unit: str = "word") -> Column:
     return bind(units, cut)
 
 
+def hash_number(c: Column) -> Column:
+    """The first 32 bits of the md5 of a string; its remainder by a width is `hash_bit`."""
+    return F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long")
+
+
 def hash_bit(c: Column, n_bits: int, method: str = "md5") -> Column:
     """Bit position of a string.  ``md5`` gives the same position in any engine;
     ``xxhash64`` is the faster choice when only Spark reads the result."""
     if method == "md5":
-        number = F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long")
-        return F.pmod(number, F.lit(n_bits)).cast("int")
+        return F.pmod(hash_number(c), F.lit(n_bits)).cast("int")
     if method == "xxhash64":
         return F.pmod(F.xxhash64(c), F.lit(n_bits)).cast("int")
     raise ValueError("method must be 'md5' or 'xxhash64'")

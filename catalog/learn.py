@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from assayspark.operators import evaluate, ranking
 from assayspark.operators.spread import checked_broadcast
 from assayspark.plans import models, prepare
+from assayspark.plans.fixed import SWEEP_WIDTHS
 from assayspark.sources.stages import fresh_path, load_model
 from assayspark.sources.tables import load_table, spread_scan
 from catalog.ranking import _RANKED
@@ -79,12 +80,9 @@ def _(spark, sf):
 def _(spark, sf):
     """All seven axes of the deep grid: 288 points with five folds each."""
     data = labelled_vectors(spark, sf)
-    lr, grid = models.lr_deep_grid()
-    train = models.training_rows(ranking.stratified_folds(data.where(F.col("split") == "train"), "label", "vec_id"))
-    cv = models.cross_validate(train, lr, grid, parallelism=8)
-    rows = [(*[p[lr.getParam(n)] for n in models.DEEP_GRID], float(a)) for p, a in zip(grid, cv.avgMetrics)]
-    columns = "reg_param double, elastic_net_param double, max_iter int, tol double, fit_intercept boolean, standardization boolean, aggregation_depth int"
-    return rounded(spark.createDataFrame(rows, f"{columns}, accuracy double"))
+    train = ranking.stratified_folds(data.where(F.col("split") == "train"), "label", "vec_id")
+    n_classes = data.agg(F.max("label")).first()[0]
+    return rounded(models.deep_grid(train, int(n_classes) + 1).table(spark))
 
 
 @query("fit_multilabel")
@@ -102,13 +100,45 @@ def _(spark, sf):
     return rounded(out, 5)
 
 
+def _sweep_rows(spark: SparkSession, sf: str) -> DataFrame:
+    docs = spread_scan(load_table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("target")))
+    rows = ranking.stratified_split(docs, "target", "doc_id")
+    return prepare.label_indexer().fit(rows).transform(rows)
+
+
 @query("width_sweep")
 def _(spark, sf):
     """Accuracy of all five models for all 18 fingerprint widths: language from character shingles."""
-    docs = spread_scan(load_table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("target")))
-    rows = ranking.stratified_split(docs, "target", "doc_id")
-    rows = prepare.label_indexer().fit(rows).transform(rows)
-    return rounded(models.width_sweep(rows, "doc_id", "text", candidates=list(models.models()), k=2, unit="char"))
+    return rounded(models.width_sweep(_sweep_rows(spark, sf), "doc_id", "text", candidates=list(models.models()), k=2, unit="char"))
+
+
+_SWEEP_BAYES = """WITH ranked AS (SELECT doc_id, lang, lower(text) AS t,
+  row_number() OVER (PARTITION BY lang ORDER BY md5('42|' || doc_id)) <= floor(count(*) OVER (PARTITION BY lang) * 0.8 + 0.5) AS train
+  FROM documents),
+classes AS (SELECT lang, row_number() OVER (ORDER BY count(*) DESC, lang) AS class FROM documents WHERE lang IS NOT NULL GROUP BY lang),
+grams AS (SELECT DISTINCT doc_id, substr(t, i, 2) AS g FROM (SELECT doc_id, t, unnest(range(1, greatest(length(t) - 1, 1) + 1)) AS i FROM ranked WHERE t <> '')),
+numbers AS (SELECT g, ('0x' || substr(md5(g), 1, 8))::BIGINT AS h FROM (SELECT DISTINCT g FROM grams)),
+cells AS (SELECT DISTINCT doc_id, w, h % w AS bit FROM grams JOIN numbers USING (g), (SELECT unnest([{widths}]) AS w)),
+rows AS (SELECT doc_id, train, class FROM ranked JOIN classes USING (lang)),
+n AS (SELECT class, count(*) AS n FROM rows WHERE train GROUP BY class),
+prior AS (SELECT class, ln(n + 1) - ln(sum(n) OVER () + count(*) OVER ()) AS p FROM n),
+c AS (SELECT w, class, bit, count(*) AS c FROM cells JOIN rows USING (doc_id) WHERE train GROUP BY ALL),
+size AS (SELECT w, class, sum(c) AS total FROM c GROUP BY ALL),
+weight AS (SELECT k.w, k.bit, s.class, ln(coalesce(c, 0) + 1) - ln(total + k.w) AS x
+  FROM (SELECT DISTINCT w, bit FROM cells) k JOIN size s USING (w) LEFT JOIN c ON c.w = k.w AND c.bit = k.bit AND c.class = s.class),
+score AS (SELECT doc_id, w, class, sum(x) AS s FROM cells JOIN weight USING (w, bit) GROUP BY ALL),
+full_score AS (SELECT r.doc_id, r.train, r.class AS own, k.w, p.class, coalesce(s, 0) + p AS s
+  FROM rows r CROSS JOIN (SELECT unnest([{widths}]) AS w) k CROSS JOIN prior p LEFT JOIN score ON score.doc_id = r.doc_id AND score.w = k.w AND score.class = p.class),
+best AS (SELECT doc_id, w, any_value(train) AS train, any_value(own) AS own, arg_max(class, s) AS class FROM full_score GROUP BY doc_id, w)
+SELECT w::INTEGER AS n_bits, round(avg(CASE WHEN train THEN (own = class)::INT END), 6) AS train_accuracy,
+  round(avg(CASE WHEN NOT train THEN (own = class)::INT END), 6) AS test_accuracy FROM best GROUP BY w"""
+
+
+@query("width_sweep_bayes", _SWEEP_BAYES.format(widths=", ".join(map(str, SWEEP_WIDTHS))))
+def _(spark, sf):
+    """Train and test accuracy of naive Bayes for all 18 widths, from one aggregate of bit counts."""
+    found = models.width_sweep(_sweep_rows(spark, sf), "doc_id", "text", candidates=["Naive Bayes"], k=2, unit="char")
+    return rounded(found.select("n_bits", "train_accuracy", "test_accuracy"))
 
 
 @query("standard_pca")

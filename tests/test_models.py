@@ -115,12 +115,12 @@ def test_model_queries_run_the_whole_job(spark, sf, monkeypatch):
 
         return instead
 
-    for query, part in (("lr_deep_grid", "cross_validate"), ("width_sweep", "width_sweep"), ("save_best_models", "train_and_evaluate")):
+    for query, part in (("lr_deep_grid", "deep_grid"), ("width_sweep", "width_sweep"), ("save_best_models", "train_and_evaluate")):
         with monkeypatch.context() as patch:
             patch.setattr(learn.models, part, note(query))
             with pytest.raises(Stop):
                 QUERIES[query](spark, sf)
-    assert len(asked["lr_deep_grid"][0][2]) == 288
+    assert len(asked["lr_deep_grid"][0]) == 2 and not asked["lr_deep_grid"][1]  # all axes, five folds
     args, kwargs = asked["width_sweep"]
     assert len(args) == 3 and "widths" not in kwargs and len(SWEEP_WIDTHS) == 18
     assert set(kwargs["candidates"]) == set(models.models())
