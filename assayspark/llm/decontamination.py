@@ -14,14 +14,15 @@ own samples bring the recall for edits that are spread over the item to the targ
 A walk starts at every word of every document, and its samples are looked up one by one: a window whose
 words so far belong to no piece is given up, which changes nothing but the work.
 
-Candidates are confirmed exactly: first a bound (the words that the window shares with the item), then the edit distance.
+Candidates are confirmed exactly: first bounds (the window's words that the item has, and the item's that the window has),
+then the edit distance.
 
 The benchmark is a stated query set.  It goes to the tasks in blocks of at most ``BLOCK_BYTES`` of text; a
-larger one means further passes inside the same stage, never a larger broadcast.  Documents are not shuffled.
+larger one means further passes over what the last one wrote, never a larger broadcast.  Documents are not shuffled.
 
 Defined results: null or empty texts and items have no words; such items match nothing.  Items with equal texts are all
-listed.  Every row gets its own result, repeated or not; an empty table on either side gives no hits.  Names of further
-columns do not matter.
+listed.  An item without id is listed as null.  Every row gets its own result, repeated or not; an empty table on either
+side gives no hits; very long texts are searched whole.  Names of further columns do not matter and the columns are kept.
 """
 
 from __future__ import annotations
@@ -33,11 +34,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix, packs, text_column, word_hashes
+from .common import mix, packs, staged, text_column, word_hashes
 
 #: Edits that are allowed, as a share of the item's words.
 MAX_RATIO = 0.2
-REPETITIONS = 12
+REPETITIONS = 8
 #: Words of a piece, at most; a walk over one has as many steps.
 PIECE = 8
 #: Words between the beginnings of pieces.
@@ -70,6 +71,11 @@ def edit_distances(item: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return row.min(1)
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])]
+
+
 def _seed(n: int) -> np.uint64:
     return np.uint64(n * 0xD6E8FEB86659FD93 % 2**64)
 
@@ -114,6 +120,9 @@ class Items:
         self.known = [_bitmap(w) for w in self.words]
         self.edits = [int(ratio * len(w)) for w in self.words]
         self.pieces = [(i, offset) for i, words in enumerate(self.words) for offset in piece_offsets(len(words))]
+        self.piece_items = np.array([i for i, _ in self.pieces], np.int64)
+        self.piece_offsets = np.array([o for _, o in self.pieces], np.int64)
+        self.allowed = np.array(self.edits, np.int64)
         # the words of all items in a row, for the walks
         self.flat = np.concatenate([np.zeros(0, np.uint64), *self.words])
         self.randoms = _randoms(self.flat)
@@ -186,30 +195,33 @@ def find_items(items: Items, texts: list[list[bytes]]) -> list[list[tuple[int, i
             seen.append(start * len(items.pieces) + piece)
     if not seen:
         return [[] for _ in texts]
-    pairs = np.unique(np.concatenate(seen))
-    starts, pieces = np.divmod(pairs, len(items.pieces))
-    order = np.argsort(pieces, kind="stable")
-    starts, pieces = starts[order], pieces[order]
+    starts, pieces = np.divmod(_distinct(np.concatenate(seen)), len(items.pieces))
+    owner = np.searchsorted(ends, starts, "right")
+    # pieces of an item that lie alike ask for the same part of the text, which is looked at once
+    numbers = items.piece_items[pieces]
+    lo = np.maximum(ends[owner] - sizes[owner], starts - items.piece_offsets[pieces] - items.allowed[numbers])
+    numbers, lo = np.divmod(_distinct(numbers * len(hashes) + lo), len(hashes))
+    owner = np.searchsorted(ends, lo, "right")
     top = (hashes >> np.uint64(48)).astype(np.int32)
-    cuts = [0, *(np.flatnonzero(np.diff(pieces)) + 1).tolist(), len(pieces)]
+    cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
     for first, after in zip(cuts, cuts[1:]):
-        item, offset = items.pieces[pieces[first]]
+        item = int(numbers[first])
         words, edits = items.words[item], items.edits[item]
-        at = starts[first:after]
-        owner = np.searchsorted(ends, at, "right")
-        begin, end = ends[owner] - sizes[owner], ends[owner]
-        lo = np.maximum(begin, at - offset - edits)
-        width = len(words) + 2 * edits
-        for block in range(0, len(at), 4096):
-            part = slice(block, block + 4096)
-            spot = lo[part, None] + np.arange(width)
-            inside = spot < end[part, None]
+        width = np.arange(len(words) + 2 * edits, dtype=np.int32)
+        for block in range(first, after, 4096):
+            part = slice(block, min(after, block + 4096))
+            spot = lo[part, None] + width
+            inside = spot < ends[owner[part], None]
             grid = np.minimum(spot, len(hashes) - 1)
-            shared = (items.known[item][top[grid]] & inside).sum(1)
+            shared = (items.known[item].take(top.take(grid)) & inside).sum(1)
             rows = np.flatnonzero(shared >= len(words) - edits)
-            if len(rows):
-                near = np.where(inside[rows], hashes[grid[rows]], _PAD)
-                for row, distance in zip(rows.tolist(), edit_distances(words, near).tolist()):
+            for some in range(0, len(rows), 256):
+                few = rows[some : some + 256]
+                near = np.where(inside[few], hashes[grid[few]], _PAD)
+                # of the item's own words, all but the edits must be there too
+                there = (near[:, :, None] == words).any(axis=1).sum(axis=1)
+                few, near = few[there >= len(words) - edits], near[there >= len(words) - edits]
+                for row, distance in zip(few.tolist(), edit_distances(words, near).tolist() if len(few) else ()):
                     text = int(owner[block + row])
                     if distance <= min(edits, hits[text].get(item, edits)):
                         hits[text][item] = distance
@@ -247,16 +259,25 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple]:
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
         if rows:
-            yield tuple(sorted((r["item_id"] if r["item_id"] is not None else -1, bytes(r["text"])) for r in rows))
+            yield tuple(sorted(((r["item_id"], bytes(r["text"])) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, ratio: float = MAX_RATIO, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with ``hits``: an array of (item_id, edits), empty for a clean document.  An item without id is -1."""
+def _searched(docs: DataFrame, benchmark: DataFrame, ratio: float, block_bytes: int) -> DataFrame:
+    """(row, hits): each row of ``docs`` as a struct, so that no name of its columns can clash."""
     empty = F.array().cast("array<struct<item_id:long,edits:long>>")
-    out = docs.drop("hits", "_text").withColumns({"hits": empty, "_text": text_column(docs).cast("binary")})
-    for rows in _blocks(benchmark, block_bytes):
+    row = F.struct(*docs.columns).alias("row")
+    out = docs.select(row, empty.alias("hits"), text_column(docs).cast("binary").alias("_text"))
+    for number, rows in enumerate(_blocks(benchmark, block_bytes)):
+        # what was found so far is written, so that the driver and the plan hold one block of items and no more
+        out = staged(out, "hits") if number else out
         out = out.mapInArrow(_search(rows, ratio), out.schema)
-    return out.drop("_text").withColumn("hits", F.array_sort("hits"))
+    return out.select("row", F.array_sort("hits").alias("hits"))
+
+
+def with_hits(docs: DataFrame, benchmark: DataFrame, ratio: float = MAX_RATIO, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` with ``hits``: an array of (item_id, edits), empty for a clean document.  A column of that name is replaced."""
+    kept = [f"row.{c}" for c in docs.columns if c != "hits"]
+    return _searched(docs, benchmark, ratio, block_bytes).select(*kept, "hits")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, ratio: float = MAX_RATIO) -> DataFrame:
@@ -272,5 +293,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, ratio: float = MAX_RATI
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, ratio: float = MAX_RATIO) -> DataFrame:
-    """The clean rows of ``docs``."""
-    return with_hits(docs, benchmark, ratio).where(F.size("hits") == 0).drop("hits")
+    """The clean rows of ``docs``, all their columns unchanged."""
+    return _searched(docs, benchmark, ratio, BLOCK_BYTES).where(F.size("hits") == 0).select("row.*")
