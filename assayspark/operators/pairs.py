@@ -53,7 +53,9 @@ def pack_bits(df: DataFrame, bits: str, n_bits: int) -> DataFrame:
 
 @dataclass
 class PackedBlocks:
-    """Written rows (block_id, position, s, t, w0, w1, ...): size, tile and bit words of each set."""
+    """Written rows (block_id, position, s, t, w0, w1, ...): size, tile and bit words of each set.
+
+    Sets from a space of more than PACKED_BITS bits stay lists (``bits`` in place of the words)."""
 
     rows: DataFrame
     n_bits: int
@@ -74,12 +76,10 @@ def pack_blocks(
 
     Rows without a fingerprint are left out before they are numbered.  Written
     once; the passes over the pairs read it."""
-    if n_bits > PACKED_BITS:
-        raise ValueError(f"pair measures need n_bits <= {PACKED_BITS}")
     # packed where the rows are, before they are sorted into blocks
     valid = df.where(F.col(bits).isNotNull())
     rows = valid.select(F.col(order).alias("_o"), F.size(bits).cast("long").alias("s"), F.col(bits).alias("_bits"))
-    packed = pack_bits(rows, "_bits", n_bits)
+    packed = pack_bits(rows, "_bits", n_bits) if n_bits <= PACKED_BITS else rows.withColumnRenamed("_bits", "bits")
     packed = with_block_id(packed, "_o", block_size, rows_per_bucket).drop("_o")
     in_block = F.col("position") - F.col("block_id") * block_size
     packed = packed.withColumn("t", F.floor(in_block / F.lit(tile)).cast("int"))
@@ -94,6 +94,11 @@ def pair_rows(blocks: PackedBlocks) -> DataFrame:
     meant to be aggregated by the caller in the same stage: it is cheaper to
     form the pairs again for a second pass than to store them."""
     packed = blocks.rows
+    own = packed.select(
+        F.col("s").alias("size_a"), F.col("s").alias("size_b"), F.col("s").alias("common"), F.lit(1).cast("long").alias("w")
+    )
+    if "bits" in packed.columns:
+        return _listed_pairs(packed).unionByName(own)
     names = [c for c in packed.columns if c.startswith("w")]
     tiles = (blocks.block_size + blocks.tile - 1) // blocks.tile
     key = F.col("block_id") * (tiles * tiles) + F.col("i") * tiles + F.col("j")
@@ -114,12 +119,31 @@ def pair_rows(blocks: PackedBlocks) -> DataFrame:
     pairs = left.join(right.hint("merge"), (F.col("ka") == F.col("kb")) & (F.col("pa") < F.col("pb"))).select(
         F.col("sa").alias("size_a"), F.col("sb").alias("size_b"), common.alias("common"), F.lit(2).cast("long").alias("w")
     )
-    own = packed.select(
-        F.col("s").alias("size_a"), F.col("s").alias("size_b"), F.col("s").alias("common"), F.lit(1).cast("long").alias("w")
-    )
     return pairs.unionByName(own)
 
 
+def _listed_pairs(rows: DataFrame) -> DataFrame:
+    """(size_a, size_b, common, w) from the elements that rows of a block share.
+
+    Pairs are joined through their elements, so the work follows what is shared and not the width of the space.
+    A block bounds the list of an element.  Pairs without a shared element are not formed: their
+    number by sizes is what is left of all pairs of the block, and they come as one row with that weight."""
+    cells = rows.select("block_id", "position", "s", F.explode("bits").alias("e"))
+    left = cells.select(F.col("block_id").alias("ka"), F.col("e").alias("ea"), F.col("position").alias("pa"), F.col("s").alias("sa"))
+    right = cells.select(F.col("block_id").alias("kb"), F.col("e").alias("eb"), F.col("position").alias("pb"), F.col("s").alias("sb"))
+    meet = (F.col("ka") == F.col("kb")) & (F.col("ea") == F.col("eb")) & (F.col("pa") < F.col("pb"))
+    shared = cut(left.join(right.hint("merge"), meet).groupBy("pa", "pb", "sa", "sb").agg(F.count(F.lit(1)).alias("common")))
+    found = shared.select(F.col("sa").alias("size_a"), F.col("sb").alias("size_b"), "common", F.lit(2).cast("long").alias("w"))
+    sizes = rows.groupBy("block_id", "s").agg(F.count(F.lit(1)).alias("n"))
+    other = sizes.select("block_id", F.col("s").alias("sb"), F.col("n").alias("nb"))
+    pairs = F.when(F.col("s") < F.col("sb"), F.col("n") * F.col("nb")).otherwise(F.expr("n * (n - 1) div 2"))
+    every = sizes.join(other, "block_id").where(F.col("s") <= F.col("sb"))
+    every = every.select(F.col("s").alias("size_a"), F.col("sb").alias("size_b"), pairs.cast("long").alias("pairs"))
+    taken = shared.select(F.least("sa", "sb").alias("size_a"), F.greatest("sa", "sb").alias("size_b"), F.lit(-1).cast("long").alias("pairs"))
+    apart = every.unionByName(taken).groupBy("size_a", "size_b").agg((2 * F.sum("pairs")).alias("w")).where(F.col("w") > 0)
+    return found.unionByName(apart.select("size_a", "size_b", F.lit(0).cast("long").alias("common"), "w"))
+
+
 def pair_counts(blocks: PackedBlocks) -> DataFrame:
     """(size_a, size_b, common, n) with size_a <= size_b over all ordered pairs."""
     a, b = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")

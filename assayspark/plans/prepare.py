@@ -17,17 +17,19 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from assayspark.functions.columns import col, split_labels
 from assayspark.operators.filters import drop_nulls, require_columns
 from assayspark.operators.fingerprints import fingerprint
 from assayspark.operators.quantiles import impute_median
 from assayspark.operators.ranking import hash_split, split_distribution, stratified_split
+from assayspark.operators.spread import attach_by_key, number_rows
 from assayspark.sources.files import write_splits
 from assayspark.sources.stages import cut
 
-MAX_CLASSES = 100_000
+#: Labels that may stand in the plan itself; more of them are joined as a table.
+LISTED_LABELS = 10_000
 
 
 # --- stages ----------------------------------------------------------------
@@ -155,17 +157,32 @@ def label_count(df: DataFrame, target: str, sep: str = ",") -> DataFrame:
 def binarize_labels(
     df: DataFrame, target: str, sep: str = ",", out: str = "labels", classes: Sequence[str] | None = None
 ) -> DataFrame:
-    """0/1 array over the sorted label vocabulary, which must be small enough for a row."""
+    """0/1 array over the sorted label vocabulary."""
+    present = split_labels(target, sep)
     if classes is None:
-        rows = label_vocabulary(df, target, sep).limit(MAX_CLASSES + 1).collect()
-        if len(rows) > MAX_CLASSES:
-            raise ValueError(f"more than {MAX_CLASSES} labels; use label_rows")
+        rows = label_vocabulary(df, target, sep).limit(LISTED_LABELS + 1).collect()
+        if len(rows) > LISTED_LABELS:
+            return _binarize_by_table(df, present, target, sep, out)
         classes = sorted(r["label"] for r in rows)
     vocabulary = F.array(*[F.lit(c) for c in classes])
-    present = split_labels(target, sep)
     return df.withColumn(out, F.transform(vocabulary, lambda c: F.array_contains(present, c).cast("int")))
 
 
+def _binarize_by_table(df: DataFrame, present: Column, target: str, sep: str, out: str) -> DataFrame:
+    """`binarize_labels` for a vocabulary that is a table of numbered labels and never on the driver."""
+    rows = cut(df.withColumn("_row", F.monotonically_increasing_id()))
+    numbered = cut(number_rows(label_vocabulary(rows, target, sep), "label", "_number"))
+    n = numbered.count()
+    pairs = rows.select("_row", F.explode(F.array_distinct(present)).alias("label"))
+    counts = pairs.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
+    found = attach_by_key(pairs, cut(numbered.join(counts, "label")), "label", "_n")
+    found = found.groupBy("_row").agg(F.collect_list("_number").alias("_numbers"))
+    numbers = F.coalesce("_numbers", F.array().cast("array<bigint>"))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+    flags = F.transform(every, lambda i: F.when(present.isNotNull(), F.array_contains(numbers, i).cast("int")))
+    return rows.join(found, "_row", "left").withColumn(out, flags).drop("_row", "_numbers")
+
+
 def label_rows(df: DataFrame, key: str, target: str, sep: str = ",") -> DataFrame:
     """Long form (key, label), one row per label that is set."""
     return df.select(key, F.explode(split_labels(target, sep)).alias("label")).distinct()

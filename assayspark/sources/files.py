@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from assayspark.functions.columns import run_name
 from assayspark.operators.spread import ROWS_PER_TASK, attach_by_key
+from assayspark.sources.stages import publish
 
 
 def read_tsv(
@@ -97,9 +98,24 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("name")).where(F.col("name") != "")
 
 
-def append_results(results: DataFrame, path: str) -> None:
-    """Add rows to a result log with a header."""
-    results.write.mode("append").option("sep", "\t").option("header", True).csv(path)
+def append_results(results: DataFrame, path: str, run_id: str | None = None) -> bool:
+    """Add rows to a result log with a header.
+
+    With ``run_id`` the rows of a run appear together or not at all, and a run that is in the log already
+    changes nothing (False); such a log is read by `read_results`."""
+
+    def write(to: str) -> None:
+        results.write.mode("append").option("sep", "\t").option("header", True).csv(to)
+
+    if run_id is None:
+        write(path)
+        return True
+    return publish(results.sparkSession, f"{path.rstrip('/')}/run={run_id}", write)
+
+
+def read_results(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """All rows of the committed runs of a log, without those of unfinished ones."""
+    return read_tsv(spark, f"{path.rstrip('/')}/run=*", schema)
 
 
 # --- run metrics -----------------------------------------------------------

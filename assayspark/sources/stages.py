@@ -52,6 +52,23 @@ def is_done(spark: SparkSession, path: str) -> bool:
     return _exists(spark, path.rstrip("/") + "/_SUCCESS")
 
 
+def publish(spark: SparkSession, target: str, write: Callable[[str], None]) -> bool:
+    """Let ``write`` fill a folder of its own and move that to ``target`` in one step; False if ``target`` is there already.
+
+    A job that fails on the way leaves no part of its rows behind, and one that is repeated adds nothing."""
+    if _exists(spark, target):
+        return False
+    draft = f"{target.rstrip('/').rpartition('/')[0]}/_draft-{uuid.uuid4().hex}"
+    write(draft)
+    jvm = spark.sparkContext._jvm
+    source = jvm.org.apache.hadoop.fs.Path(draft)
+    system = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if _exists(spark, target) or not system.rename(source, jvm.org.apache.hadoop.fs.Path(target)):
+        system.delete(source, True)  # the draft of this call
+        return False
+    return True
+
+
 def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The stage stored at ``path``; built and written first unless it is already complete."""
     if not is_done(spark, path):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
-from assayspark.operators import evaluate
+from assayspark.operators import evaluate, spread
 from assayspark.plans import prepare
 
 
@@ -130,3 +130,21 @@ def test_labels(spark):
     assert [r["labels"] for r in prepare.binarize_labels(df, "t").orderBy("id").collect()] == [[1, 1, 0], [0, 0, 1], [1, 0, 0]]
     assert prepare.label_count(df, "t").first()["n_labels"] == 3
     assert sorted(prepare.label_rows(df, "id", "t").collect()) == [(1, "a"), (1, "b"), (2, "c"), (3, "a")]
+
+
+def test_binarize_labels_without_a_limit(spark, monkeypatch):
+    rows = [(i, ",".join(f"L{(i * 37 + j * 211) % 1500:05d}" for j in range(40)) + ",common" if i % 9 else None) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, t string")
+    listed = prepare.binarize_labels(df, "t").orderBy("id").collect()
+    monkeypatch.setattr(prepare, "LISTED_LABELS", 100)
+    joined = prepare.binarize_labels(df, "t")
+    assert joined.columns == ["id", "t", "labels"]
+    got = joined.orderBy("id").collect()
+    assert [sum(r["labels"]) for r in got if r["t"]] == [41 for i in range(120) if i % 9]
+    assert [r["labels"] for r in got] == [r["labels"] for r in listed]
+
+
+def test_number_rows(spark):
+    df = spark.range(500).select(F.md5(F.col("id").cast("string")).alias("k")).repartition(5)
+    got = spread.number_rows(df, "k", "n").orderBy("k").collect()
+    assert [r["n"] for r in got] == list(range(500))

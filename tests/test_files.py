@@ -158,3 +158,14 @@ def test_shared_folder_must_be_set_on_a_cluster():
     context = SimpleNamespace(getConf=lambda: conf, getCheckpointDir=lambda: None, master="spark://head:7077")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         stages.shared_dir(SimpleNamespace(sparkContext=context, conf=conf))
+
+
+def test_a_run_is_logged_once(spark, tmp_path):
+    log, schema = str(tmp_path / "runs"), "model string, score double"
+    rows = spark.createDataFrame([("a", 0.5), ("b", 0.25)], schema)
+    assert files.append_results(rows, log, "run-1") and not files.append_results(rows, log, "run-1")
+    with pytest.raises(Exception):  # a run that fails on the way
+        files.append_results(rows.select("model", F.raise_error("lost").alias("score")), log, "run-2")
+    assert sorted(tuple(r) for r in files.read_results(spark, log, schema).collect()) == [("a", 0.5), ("b", 0.25)]
+    assert files.append_results(rows.limit(1), log, "run-2")
+    assert files.read_results(spark, log, schema).count() == 3

@@ -184,8 +184,18 @@ def test_pairs_leave_out_rows_without_bits(spark):
     df = spark.createDataFrame([(1, [1, 2]), (2, None), (3, [2, 70])], "id long, bits array<int>")
     counts = pairs.pair_counts(pairs.pack_blocks(df, "id", n_bits=128, block_size=2)).collect()
     assert sorted((r["size_a"], r["size_b"], r["common"], r["n"]) for r in counts) == [(2, 2, 1, 2), (2, 2, 2, 2)]
-    with pytest.raises(ValueError):
-        pairs.pack_blocks(df, "id", n_bits=10**6)
+    wide = pairs.pair_counts(pairs.pack_blocks(df, "id", n_bits=2**30, block_size=2)).collect()
+    assert sorted((r["size_a"], r["size_b"], r["common"], r["n"]) for r in wide) == [(2, 2, 1, 2), (2, 2, 2, 2)]
+
+
+def test_wide_sets_give_the_packed_counts(spark, monkeypatch):
+    sets = [*random_sets(22, 30, 300), [299], [298], []]
+    packed = pairs.pack_blocks(frame(spark, sets), "id", n_bits=300, block_size=16, tile=4)
+    monkeypatch.setattr(pairs, "PACKED_BITS", 64)
+    listed = pairs.pack_blocks(frame(spark, sets), "id", n_bits=300, block_size=16, tile=4)
+    assert "bits" in listed.rows.columns and "w0" in packed.rows.columns
+    for of in (pairs.pair_counts, pairs.pair_histograms, pairs.pair_values):
+        assert sorted(of(listed).collect(), key=str) == sorted(of(packed).collect(), key=str)
 
 
 def test_fingerprint(spark):

@@ -3,9 +3,10 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from assayspark.operators import balance, quantiles, ranking, spread
+from assayspark.sources import stages
 
 
 def two_classes(spark, active, inactive):
@@ -164,8 +165,7 @@ def test_attach_by_key_splits_hot_keys(spark):
     assert missing.count() == 1000 and missing.where("m IS NULL").count() == 1
 
 
-def test_attach_by_key_with_more_hot_keys_than_are_listed(spark, monkeypatch):
-    monkeypatch.setattr(spread, "HOT_KEYS", 2)
+def test_attach_by_key_with_many_hot_keys(spark):
     left = spark.range(900).select("id", (F.col("id") % 6).alias("k"), (F.col("id") % 2).alias("j"))
     left = left.union(spark.range(900, 1500).select("id", F.lit(0).alias("k"), F.lit(0).alias("j")))
     per = left.groupBy("k", "j").agg(F.count(F.lit(1)).alias("n"))
@@ -173,6 +173,30 @@ def test_attach_by_key_with_more_hot_keys_than_are_listed(spark, monkeypatch):
     assert sorted(got) == sorted(left.join(per, ["k", "j"]).select("id", "k", "j", "n").collect())
 
 
+def test_one_long_key_with_half_the_rows(spark):
+    text = F.repeat(F.lit("long "), 20_000)
+    left = stages.cut(spark.range(2000).select("id", F.when(F.col("id") % 2 == 0, text).otherwise(F.col("id").cast("string")).alias("k")))
+    per = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    got = spread.attach_by_key(left, per, "k", "n", rows_per_task=100)
+    assert got.groupBy("n").count().orderBy("n").collect() == [(1, 1000), (1000, 1000)]
+    assert "long long" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("level", [3, 4])
+def test_running_totals_in_three_levels(spark, monkeypatch, level):
+    monkeypatch.setattr(spread, "LEVEL_BUCKETS", level)
+    rows = spark.range(300).select("id", (F.col("id") * 7919 % 300).alias("v"), (F.col("id") % 2).alias("g"))
+    rows = rows.withColumn("d", F.md5(F.col("v").cast("string")))
+    for group in ([], ["g"]):
+        for order, kind in (("v", "range"), ("d", "digest")):
+            got = spread.running_totals(rows, [order], {"s": F.col("id")}, group, kind, 5, with_total=True)
+            window = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+            want = rows.select(
+                "id", F.sum("id").over(window.orderBy(order)).alias("s"), F.sum("id").over(window).alias("s_total")
+            )
+            assert sorted(got.select("id", "s", "s_total").collect()) == sorted(want.collect())
+
+
 def test_attach_by_key_with_the_key_column_only(spark):
     left = spark.range(300).select(F.when(F.col("id") < 200, 0).otherwise(F.col("id")).alias("k"))
     per = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
