@@ -1,11 +1,12 @@
 """Personal data: base patterns and bootstrapped contextual extraction, as DataFrame expressions.
 
-Base entities (e-mail, IP address, card, phone) are found by patterns; they are the seeds.
-A lexical pattern is the word before an entity.  Its score is the share of all its occurrences in the
-corpus that stand before a known instance; an instance is a token that
+Base entities (e-mail, IP address, card, phone) are found by patterns; they are seeds, and so are secrets whose shape
+speaks for itself (``SECRET``: long hexadecimal runs of letters and digits).  A lexical pattern is what stands before a
+value: a word with an assignment (``key = "``, ``name:``), or else the word alone.  Its score is the share of all its
+occurrences in the corpus that stand before a known instance; an instance is a token that
 looks like an identifier (a run of letters, digits, ``_`` or ``-``, at least ``MIN_TOKEN`` long and with a digit).
 In each round, patterns with a high score make the instances behind them known, and those raise the score of
-further patterns.  Occurrences of known instances behind a high-scoring pattern are added as spans of kind ``id``.
+further patterns.  Identifiers behind a high-scoring pattern are added as spans of kind ``id``.
 The pattern-instance graph stays in Spark; both sides are scored by grouped counts.
 
 Regular expressions are written so that no group repeats over the text and no run is scanned from each of its places:
@@ -29,8 +30,11 @@ MIN_TOKEN = 6
 MIN_PRECISION, MIN_INSTANCES = 0.6, 3
 #: Rounds of scoring.
 ROUNDS = 3
-#: Characters before an entity that are searched for its pattern.
+#: Characters before an entity that are searched for its pattern.  A word that does not lie in them whole is no pattern.
 REACH = 32
+#: Seeds besides the base entities.
+SECRET = r"^(?=[^a-f]*[a-f])(?=[^0-9]*[0-9])[0-9a-f]{32,}$"
+_ASSIGNED = r"\p{L}++\s*+[=:]\s*+[\"']?"
 
 _SEP, _DOT = "\ue000", "\ue001"
 _LOCAL = f"A-Za-z0-9._%+{_DOT}-"
@@ -132,8 +136,14 @@ def entity_spans(docs: DataFrame) -> DataFrame:
     def context(kind: str) -> Column:
         def one(s: Column) -> Column:
             before = F.substring(F.col("_text"), F.greatest(s["start"] - REACH, F.lit(0)).cast("int") + 1, F.least(s["start"], F.lit(REACH)).cast("int"))
-            word = F.lower(F.regexp_extract(before, r"(\p{L}+)[^\p{L}]*$", 1))
-            return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), word.alias("word"))
+            before = F.lower(before)
+            found_before = F.regexp_extract(before, rf"((?<!\p{{L}}){_ASSIGNED}|\p{{L}}+[^\p{{L}}]*)$", 1)
+            whole = (F.length(found_before) < F.length(before)) | (s["start"] <= REACH)
+            assigned = found_before.rlike(rf"^{_ASSIGNED}$")
+            pattern = F.when(assigned, F.regexp_replace(found_before, r"\s+", "")).otherwise(F.regexp_extract(found_before, r"^\p{L}+", 0))
+            shape = F.when(s["value"].rlike(SECRET), "secret").otherwise(kind) if kind == "id" else F.lit(kind)
+            return F.struct(shape.alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"),
+                            F.when(whole, pattern).otherwise("").alias("word"))
 
         return F.transform(F.col(kind), one)
 
@@ -141,10 +151,10 @@ def entity_spans(docs: DataFrame) -> DataFrame:
 
 
 def bootstrap(seen: DataFrame, words: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Words whose score is high after ``rounds`` rounds: (word, precision).
+    """Patterns whose score is high after ``rounds`` rounds: (word, precision).
 
-    ``seen``: kind, value, word of entities (kind other than ``id``) and identifiers; ``words``: word, n,
-    the occurrences of each word in the corpus."""
+    ``seen``: kind, value and pattern (``word``) of seeds (kind other than ``id``) and identifiers; ``words``: word, n,
+    the occurrences of each pattern in the corpus."""
     seen = seen.where("word <> ''").groupBy("word", "value", (F.col("kind") != "id").alias("seed")).agg(F.count("*").alias("n"))
     total = words.join(seen.select("word").distinct(), "word", "left_semi").select("word", F.col("n").alias("total"))
     edges = staged(seen.join(total, "word"), "edges")
@@ -166,9 +176,12 @@ def bootstrap(seen: DataFrame, words: DataFrame, rounds: int = ROUNDS) -> DataFr
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n): runs of letters, lower-cased, over all texts."""
-    words = F.explode(F.split(F.lower(text_column(docs)), r"[^\p{L}]+"))
-    return docs.select(words.alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    """(word, n): occurrences of each possible pattern in all texts, lower-cased: runs of letters, and those with an assignment."""
+    text = F.lower(text_column(docs))
+    words = F.filter(F.split(text, r"[^\p{L}]+"), lambda w: w != "")
+    assigned = F.regexp_extract_all(text, F.lit(rf"(?<!\p{{L}}){_ASSIGNED}"), F.lit(0))
+    assigned = F.when(text.rlike("[=:]"), F.transform(assigned, lambda a: F.regexp_replace(a, r"\s+", ""))).otherwise(F.array().cast("array<string>"))
+    return docs.select(F.explode(F.concat(words, assigned)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -177,7 +190,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     seen = found.select("doc_id", "_hash", F.explode("seen").alias("s")).select("doc_id", "_hash", "s.*")
     trusted = bootstrap(seen.select("kind", "value", "word"), word_counts(docs))
     span = F.struct("start", "end", "value")
-    new = seen.where("kind = 'id'").join(trusted, "word", "left_semi").select("doc_id", "_hash", span.alias("s")).distinct()
+    new = seen.where("kind IN ('id', 'secret')").join(trusted, "word", "left_semi").select("doc_id", "_hash", span.alias("s")).distinct()
     new = new.groupBy(F.col("doc_id").alias("_doc"), F.col("_hash").alias("_h")).agg(F.array_sort(F.collect_list("s")).alias("id"))
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_h"))
     out = found.drop("seen").join(new, same, "left").drop("_doc", "_h")
@@ -221,10 +234,12 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
     tagged = [named(k) for k in (*KINDS, "id")]
     spans = found.select(F.col("doc_id").alias("_doc"), F.col("_hash").alias("_h"), F.concat(*tagged).alias("_spans"))
     spans = spans.where(F.size("_spans") > 0).dropDuplicates(["_doc", "_h"])
-    keyed = docs.withColumn("_hash", F.xxhash64(text_column(docs)))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_h"))
-    out = keyed.join(spans, same, "left")
-    out = out.withColumn("text", F.when(F.col("_spans").isNotNull(), _masked(F.col("text"))).otherwise(F.col("text")))
+    # the row is kept as a struct, so that no name of its columns can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_id"), F.xxhash64(text_column(docs)).alias("_hash"))
+    out = rows.join(spans, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_h")), "left")
+    hit, text = F.col("_spans").isNotNull(), F.col("row.text")
+    masked = F.when(hit, _masked(text)).otherwise(text)
+    new = {"text": masked}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        new["n_chars"] = F.when(hit, F.length(masked).cast("long")).otherwise(F.col("row.n_chars"))
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -313,6 +313,40 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert personal_data.mask_personal_data(table(spark, [])).count() == 0
 
 
+def test_secrets_induce_assignment_patterns(spark):
+    rng = random.Random(6)
+    secrets = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(4)]
+    texts = [f'some words token = "{s}" and more' for s in secrets]
+    texts += ['then  Token="zq-77120-x" came', "a token 9912345x of another kind", 'width = "abc123def" here', "x" * 50 + ": 1234567"]
+    found = {r["doc_id"]: [s["value"] for s in r["id"]] for r in personal_data.find_personal_data(table(spark, texts)).collect()}
+    assert [found[i] for i in range(4)] == [[s] for s in secrets]
+    assert found[4] == ["zq-77120-x"] and found[5] == found[6] == found[7] == []
+
+
+def test_scoring_rounds_against_plain_loops(spark):
+    rng = random.Random(12)
+    seen = [(rng.choice(("card", "id", "id", "id")), f"v{rng.randrange(30)}", f"w{rng.randrange(9)}") for _ in range(150)]
+    totals = {f"w{i}": 10 + 5 * i for i in range(9)}
+    got = personal_data.bootstrap(spark.createDataFrame(seen, "kind string, value string, word string"), spark.createDataFrame(list(totals.items()), "word string, n long"))
+    seeds = {v for k, v, _ in seen if k != "id"}
+    known, trusted = set(seeds), {}
+    for _ in range(personal_data.ROUNDS):
+        trusted = {}
+        for w, n in totals.items():
+            hits = [v for _, v, x in seen if x == w and v in known]
+            if len(set(hits)) >= personal_data.MIN_INSTANCES and min(1.0, len(hits) / n) >= personal_data.MIN_PRECISION:
+                trusted[w] = min(1.0, len(hits) / n)
+        known = seeds | {v for _, v, w in seen if w in trusted}
+    assert trusted and {r["word"]: r["precision"] for r in got.collect()} == pytest.approx(trusted)
+
+
+def test_masking_keeps_columns_of_any_name(spark):
+    rows = [(1, "mail a@b.co", 11, "x", 5, "y"), (2, None, None, "z", 6, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, _hash string, _spans int, _h string")
+    got = sorted(tuple(r) for r in personal_data.mask_personal_data(docs).collect())
+    assert got == [(1, "mail [EMAIL]", 12, "x", 5, "y"), (2, None, None, "z", 6, "w")]
+
+
 def test_overlapping_spans_are_masked_once(spark):
     text = "call +4111111111111111 or a@b.co"
     got = personal_data.mask_personal_data(table(spark, [text, text])).collect()
