@@ -23,7 +23,7 @@ def data(spark):
     return stages.cut(rows.select("id", "label", "split", array_to_vector("v").alias("features")))
 
 
-def test_grids():
+def test_grids(spark):
     assert {n: len(g) for n, (_, g) in models.models().items()} == {
         "Random Forest": 1, "Logistic Regression": 4, "Decision Tree": 1, "Naive Bayes": 1, "One-vs-Rest": 4}
     assert len(models.lr_deep_grid()[1]) == 288
