@@ -88,4 +88,4 @@ def test_near_duplicates_of_the_pipeline_share_four_fifths(spark, sf):
 def test_entry_lists_all_queries():
     entry = importlib.import_module("__spark_entry__")
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert len(queries.QUERIES) == 10
+    assert len(queries.QUERIES) == 13
