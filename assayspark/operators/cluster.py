@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from assayspark.operators.filters import drop_groups, having_min_size
 from assayspark.operators.ranking import with_position
-from assayspark.operators.simjoin import copy_groups, distinct_sets, join_postings, prefix_index
+from assayspark.operators.simjoin import PackedIndex, copy_groups, distinct_sets, join_index, join_postings
 from assayspark.operators.spread import attach_by_key
 from assayspark.sources.stages import cut
 
@@ -57,6 +57,11 @@ def _short_postings(postings: DataFrame, one_chunk_matches: int) -> bool:
     )
 
 
+def _few_pairs(rows: DataFrame, one_chunk_matches: int) -> bool:
+    """True when the pairs of all rows are no more than the matches of postings that are joined at once."""
+    return rows.count() ** 2 / 2 <= one_chunk_matches
+
+
 def leader_assignments(
     sets: DataFrame,
     threshold: float = 0.8,
@@ -77,10 +82,11 @@ def leader_assignments(
     rows in random order, the rows left have few neighbours among the next
     chunk (Blelloch, Fineman, Shun 2012), so each chunk joins a sparse graph.
     """
-    index = prefix_index(sets, threshold)
+    index = join_index(sets, threshold)
     rest = index.prefix
     bounds, shares = [], []
-    if not _short_postings(rest, one_chunk_matches):
+    short = _few_pairs if isinstance(index, PackedIndex) else _short_postings
+    if not short(rest, one_chunk_matches):
         ids = rest.select(F.col("rep").cast("double").alias("r")).distinct()
         total, reach = ids.count(), first_chunk
         while reach < total:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from assayspark.functions import measures
 from assayspark.functions.text import hash_bit, shingles
-from assayspark.operators import cluster, pairs, simjoin
+from assayspark.operators import bitrows, cluster, pairs, simjoin
 from assayspark.operators.fingerprints import fingerprint
 
 
@@ -71,6 +71,36 @@ def test_similarity_join_equals_brute_force(spark, seed, universe, t, per_task):
     assert all(abs(r["similarity"] - want[(r["id_a"], r["id_b"])]) < 1e-12 for r in got)
 
 
+@pytest.mark.parametrize("t, universe, tile_rows", [(0.8, 100, 7), (0.5, 300, 20), (0.3, 64, 1000), (1.0, 90, 5)])
+def test_sets_of_a_narrow_space_are_compared_in_tiles(spark, t, universe, tile_rows):
+    rng = random.Random(universe)
+    sets = [*random_sets(31, 50, universe), [], [0], [universe - 1], *[sorted(rng.sample(range(universe), universe - k)) for k in (0, 1, 2, 3)]]
+    distinct = simjoin.distinct_sets(frame(spark, sets), "id")
+    index = simjoin.join_index(distinct, t)
+    if t < 1.0:  # a prefix of several elements, and few elements: postings would meet as often as there are pairs
+        assert isinstance(index, simjoin.PackedIndex)
+    rows = simjoin._packed_index(distinct, t, universe).prefix
+    want = brute_pairs(sets, t)
+    got = simjoin._packed_pairs(rows, rows, t, tile_rows).collect()
+    assert len(got) == len(want) and {(r["id_a"], r["id_b"]): r["similarity"] for r in got} == pytest.approx(want)
+    early, late = rows.where("rep < 60"), rows.where("rep >= 60")
+    between = simjoin._packed_pairs(early, late, t, tile_rows).collect()
+    assert {(r["id_a"], r["id_b"]) for r in between} == {(a, b) for a, b in want if a < 60 <= b}
+
+
+@pytest.mark.parametrize("t, mark_bits, hot", [(0.8, 28, 1024), (0.5, 4, 0), (0.7, 6, 3)])
+def test_bounded_marks_lose_no_pair(spark, monkeypatch, t, mark_bits, hot):
+    """Elements are counted range by range and sets ordered where they lie; loss in the marks adds candidates only."""
+    monkeypatch.setattr(bitrows, "MARKED_BITS", mark_bits)
+    monkeypatch.setattr(bitrows, "HOT_PER_RANGE", hot)
+    monkeypatch.setattr(bitrows, "HOT_FROM", 2)
+    monkeypatch.setattr(bitrows, "FLUSH", 50)
+    sets = [[2**30 - 1 - 7919 * b for b in reversed(x)] for x in random_sets(32, 60, 4000)] + [[]]
+    got = simjoin.similarity_join(frame(spark, sets), "id", threshold=t).collect()
+    want = brute_pairs(sets, t)
+    assert len(got) == len(want) and {(r["id_a"], r["id_b"]): r["similarity"] for r in got} == pytest.approx(want)
+
+
 def test_parity_bound_never_drops_a_pair(spark):
     """Parity folding can only shrink the number of differing positions."""
     rng = random.Random(9)
@@ -88,6 +118,15 @@ def test_copy_groups(spark):
     assert got == {0: (0, 3), 3: (3, 1), 6: (0, 3), 9: (9, 2), 12: (9, 2), 15: (0, 3)}
 
 
+def test_copy_groups_carry_digests_and_tell_clashes_apart(spark, monkeypatch):
+    sets = [[1, 2], [3], [1, 2], [], [], [1, 2]]
+    want = {0: (0, 3), 3: (3, 1), 6: (0, 3), 9: (9, 2), 12: (9, 2), 15: (0, 3)}
+    for digest in (simjoin.set_digest, lambda bits: F.lit(0).cast("long")):
+        monkeypatch.setattr(simjoin, "set_digest", digest)
+        out = simjoin.copy_groups(frame(spark, sets), "id")
+        assert {r["id"]: (r["rep"], r["copies"]) for r in out.collect()} == want
+
+
 @pytest.mark.parametrize("seed, universe, t, chunk, growth", [(11, 60, 0.5, 4096, 8), (12, 50, 0.3, 10, 2), (13, 400, 0.8, 15, 3), (14, 35, 0.4, 5, 4)])
 def test_leader_cluster_equals_sequential_rule(spark, seed, universe, t, chunk, growth):
     sets = random_sets(seed, 45, max(universe, 30))
