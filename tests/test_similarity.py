@@ -258,3 +258,17 @@ def test_project2d(spark):
     out = cluster.project2d(df, "v").collect()
     assert len(out) == 20
     assert np.var([r["x"] for r in out]) > np.var([r["y"] for r in out])
+
+
+def test_counts_by_key_stay_bounded_in_a_task(spark, monkeypatch):
+    """Pairs are counted in the task that forms them, handed on in parts, and add up to all ordered pairs."""
+    monkeypatch.setattr(pairs, "HELD_KEYS", 40)
+    monkeypatch.setattr(pairs, "EMIT", 7)
+    monkeypatch.setattr(pairs, "TILE_ROWS", 3)
+    sets = [*random_sets(23, 25, 200), list(range(200))]
+    blocks = pairs.pack_blocks(frame(spark, sets), "id", n_bits=200, block_size=16, tile=4)
+    joined = pairs.pair_rows(blocks).groupBy(F.least("size_a", "size_b").alias("size_a"), F.greatest("size_a", "size_b").alias("size_b"), "common")
+    want = sorted(map(tuple, joined.agg(F.sum("w").alias("n")).collect()))
+    assert sorted(map(tuple, pairs.pair_counts(blocks).collect())) == want
+    assert pairs.pair_values(blocks).where("metric = 'cosine'").agg(F.sum("n")).first()[0] == sum(n for a, _, _, n in want if a)
+    assert pairs._counted(blocks, "sum").agg(F.sum("n")).first()[0] == sum(r[-1] for r in want)
