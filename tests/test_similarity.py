@@ -86,6 +86,9 @@ def test_sets_of_a_narrow_space_are_compared_in_tiles(spark, t, universe, tile_r
     early, late = rows.where("rep < 60"), rows.where("rep >= 60")
     between = simjoin._packed_pairs(early, late, t, tile_rows).collect()
     assert {(r["id_a"], r["id_b"]) for r in between} == {(a, b) for a, b in want if a < 60 <= b}
+    assert simjoin._packed_pairs(late, early, t, tile_rows).isEmpty()
+    again = simjoin._packed_pairs(rows.where("rep >= 0"), rows, t, tile_rows).collect()
+    assert len(again) == len(want) and {(r["id_a"], r["id_b"]) for r in again} == set(want)
 
 
 @pytest.mark.parametrize("t, mark_bits, hot", [(0.8, 28, 1024), (0.5, 4, 0), (0.7, 6, 3)])
