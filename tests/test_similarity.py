@@ -240,6 +240,21 @@ def test_wide_sets_give_the_packed_counts(spark, monkeypatch):
         assert sorted(of(listed).collect(), key=str) == sorted(of(packed).collect(), key=str)
 
 
+def test_histograms_form_no_pair_rows(spark, monkeypatch):
+    sets = [*random_sets(23, 30, 300), [], []]
+    blocks = pairs.pack_blocks(frame(spark, sets), "id", n_bits=300, block_size=16, tile=4)
+    monkeypatch.setattr(pairs, "pair_rows", None)
+    found = pairs.pair_histograms(blocks, 10).collect()
+    want = all_pair_values(sets, 16, 300)
+    assert {m: sum(r["n"] for r in found if r["metric"] == m) for m in measures.SET_MEASURES} == {m: len(v) for m, v in want.items()}
+    one = pairs.pack_blocks(frame(spark, [[], []]), "id", n_bits=300)  # no cosine, and ranges of one value
+    assert sorted({(r["metric"], r["n"]) for r in pairs.pair_histograms(one, 10).collect() if r["n"]}) == [
+        (m, 4) for m in ("dice", "hamming", "manhattan", "tanimoto")
+    ]
+    none = pairs.pack_blocks(frame(spark, [[1]]).where("id < 0"), "id", n_bits=300)
+    assert pairs.pair_histograms(none, 10).collect() == []
+
+
 def test_fingerprint(spark):
     texts = ["The quick  brown fox\njumps", "one two", "", None, "THE QUICK BROWN FOX JUMPS"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
