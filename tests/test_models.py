@@ -1,7 +1,11 @@
+import threading
+
 import pytest
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import DecisionTreeClassificationModel, LogisticRegression
+from pyspark.ml import Estimator, PipelineModel
+from pyspark.ml.classification import DecisionTreeClassificationModel, LogisticRegression, NaiveBayes
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import functions as F
 
 from assayspark.operators import ranking
@@ -57,6 +61,53 @@ def test_cross_validation_uses_the_fold_column(data):
     assert len(cv.avgMetrics) == 2 and max(cv.avgMetrics) > 0.8
 
 
+class Meeting(Estimator):
+    """Naive Bayes that is fitted as soon as so many fits have begun."""
+
+    meeting = None
+
+    def _fit(self, rows):
+        self.meeting.wait(60)
+        return NaiveBayes().fit(rows)
+
+
+def test_folds_and_refit_of_one_point_run_side_by_side(data):
+    train = ranking.stratified_folds(data.where("split = 'train'"), "label", "id", 3)
+    Meeting.meeting = threading.Barrier(4)  # three folds and the refit: one after the other they would never meet
+    cv = models.cross_validate(train, Meeting(), [{}], folds=3, parallelism=4)
+    assert len(cv.avgMetrics) == 1 and cv.bestModel.numClasses == 3
+
+
+def test_cross_validation_scores_as_spark_does(data):
+    lr = LogisticRegression(maxIter=4)
+    train = stages.cut(ranking.stratified_folds(data.where("split = 'train'"), "label", "id", 3))
+    grid = [{lr.regParam: 5.0}, {lr.regParam: 0.1}]
+    evaluator = MulticlassClassificationEvaluator(metricName="accuracy")
+    for points in (grid, [{}]):
+        theirs = CrossValidator(estimator=lr, estimatorParamMaps=points, evaluator=evaluator, numFolds=3, foldCol="fold").fit(train)
+        ours = models.cross_validate(train, lr, points, folds=3, parallelism=8)
+        assert ours.avgMetrics == theirs.avgMetrics and ours.stdMetrics == theirs.stdMetrics
+        assert ours.bestModel.coefficientMatrix == theirs.bestModel.coefficientMatrix
+        assert ours.getNumFolds() == 3
+
+
+def test_cross_validation_asks_for_rows_in_every_fold(data):
+    lr = LogisticRegression(maxIter=2)
+    train = ranking.stratified_folds(data.where("split = 'train'"), "label", "id", 3)
+    for bad in (train.where("fold < 2"), train.where("fold = 0"), train.withColumn("fold", F.col("fold") + 1), train.withColumn("fold", F.lit(None).cast("int"))):
+        with pytest.raises(ValueError, match="fold"):
+            models.cross_validate(bad, lr, [{}], folds=3)
+
+
+def test_training_rows_come_without_their_lineage(data, monkeypatch):
+    seen = []
+    monkeypatch.setattr(models, "cross_validate", lambda train, *_: seen.append(train) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        models.train_and_evaluate(data, "id", {"Naive Bayes": models.models()["Naive Bayes"]})
+    steps = seen[0].rdd.toDebugString().decode()
+    assert "ReliableCheckpointRDD" in steps and "Shuffled" not in steps and "InMemory" not in steps
+
+
 def test_multilabel(spark):
     rows = spark.range(120).select(
         "id",
