@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from assayspark.operators.filters import drop_groups, having_min_size
 from assayspark.operators.ranking import with_position
-from assayspark.operators.simjoin import PackedIndex, copy_groups, distinct_sets, join_index, join_postings
+from assayspark.operators.simjoin import PackedIndex, copy_groups, join_index, join_postings, written_sets
 from assayspark.operators.spread import attach_by_key
-from assayspark.sources.stages import cut
+from assayspark.sources.stages import cut, release
 
 FIRST_CHUNK = 256
 GROWTH = 16
@@ -27,7 +27,7 @@ def _members(edges: DataFrame) -> DataFrame | None:
     members and leave the graph.  Each round decides at least the first node of
     every component, and few rounds are needed when the order is unrelated to
     the similarity."""
-    members = None
+    members, stage = None, None
     edges = edges.select("id_a", "id_b")
     n = edges.count()
     while n:
@@ -42,6 +42,9 @@ def _members(edges: DataFrame) -> DataFrame | None:
             alive = load.join(new.withColumnRenamed("id", side), side, "left_anti")
             edges = attach_by_key(edges, alive, side, "_load", left_rows=n).select("id_a", "id_b")
         edges = cut(edges)
+        if stage is not None:
+            release(stage)
+        stage = edges
         n = edges.count()
     return members
 
@@ -68,6 +71,7 @@ def leader_assignments(
     first_chunk: int = FIRST_CHUNK,
     growth: int = GROWTH,
     one_chunk_matches: int = ONE_CHUNK_MATCHES,
+    behind: Sequence[DataFrame] = (),
 ) -> DataFrame:
     """(rep, leader) for the members among distinct sets; a set that is not listed leads.
 
@@ -81,9 +85,13 @@ def leader_assignments(
     small, since it alone meets such a family whole.  After a prefix of k
     rows in random order, the rows left have few neighbours among the next
     chunk (Blelloch, Fineman, Shun 2012), so each chunk joins a sparse graph.
+
+    ``behind`` names written stages that only ``sets`` is read from; they go when the index is
+    written, and each stage of the way when the next one is.
     """
     index = join_index(sets, threshold)
-    rest = index.prefix
+    release(*behind)
+    rest = stage = index.prefix
     bounds, shares = [], []
     short = _few_pairs if isinstance(index, PackedIndex) else _short_postings
     if not short(rest, one_chunk_matches):
@@ -118,8 +126,14 @@ def leader_assignments(
             near = cut(near.groupBy(F.col("id_b").alias("rep")).agg(F.min("id_a").alias("leader")))
             found.append(near)
             rest = cut(later.join(near, "rep", "left_anti"))
+            release(stage)
+            stage = rest
+        release(pairs)
         for part in found:
             out = part if out is None else out.unionByName(part)
+    release(stage)
+    if index.live is not None:
+        release(index.live)
     if out is None:
         rep = sets.schema["rep"].dataType.simpleString()
         return sets.sparkSession.createDataFrame([], f"rep {rep}, leader {rep}")
@@ -139,15 +153,16 @@ def leader_cluster(
 
     ``id`` is a unique number and gives the row order; ``cluster_id`` counts the
     leaders from 0 in that order.  Rows are matched by key, so rows without a
-    fingerprint shift nothing."""
-    sets = cut(distinct_sets(df, id, bits))
-    assigned = leader_assignments(sets, threshold, first_chunk, growth, one_chunk_matches)
-    leaders = sets.select("rep", "copies").join(assigned, "rep", "left")
+    fingerprint shift nothing.  ``df`` is read once, and its sets are written once."""
+    written = cut(df.where(F.col(bits).isNotNull()).select(F.col(id).alias("id"), F.col(bits).alias("bits")))
+    named, firsts, sets = written_sets(written)
+    assigned = leader_assignments(sets, threshold, first_chunk, growth, one_chunk_matches, [written])
+    leaders = firsts.select("rep", "copies").join(assigned, "rep", "left")
     leaders = cut(leaders.select("rep", "copies", F.coalesce("leader", "rep").alias("leader_id")))
     numbered = with_position(leaders.where(F.col("rep") == F.col("leader_id")).select("leader_id"), "leader_id", "cluster_id")
     sizes = leaders.groupBy("leader_id").agg(F.count(F.lit(1)).alias("_n"))
     labelled = attach_by_key(leaders, sizes.join(numbered, "leader_id"), "leader_id", "_n")
-    rows = copy_groups(df, id, bits, sets).select("id", "rep")
+    rows = copy_groups(named, "id", "bits", firsts).select("id", "rep")
     out = attach_by_key(rows, labelled.select("rep", "copies", "leader_id", "cluster_id"), "rep", "copies")
     return out.select(F.col("id").alias(id), "leader_id", "cluster_id")
 

@@ -47,7 +47,7 @@ def cluster_compounds(
 ) -> dict[str, DataFrame]:
     """Fingerprint, cluster, and list the members and the lightest hit of clusters of ``min_size`` rows."""
     rows = df.where(F.col(structure).isNotNull())
-    bits = cut(fingerprint(rows.select(id, structure), structure, k, n_bits, unit).select(id, "bits"))
+    bits = fingerprint(rows.select(id, structure), structure, k, n_bits, unit).select(id, "bits")
     clustered = cut(cluster.leader_cluster(bits, id, "bits", threshold))
     members = cluster.cluster_members(df, clustered.select(id, "cluster_id"), id, min_size)
     hits = cluster.cluster_hits(members, "cluster_id", weight, id, min_size)

@@ -1,4 +1,6 @@
+import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -8,6 +10,7 @@ from assayspark.functions import measures
 from assayspark.functions.text import hash_bit, shingles
 from assayspark.operators import bitrows, cluster, pairs, simjoin
 from assayspark.operators.fingerprints import fingerprint
+from assayspark.sources.stages import cut
 
 
 def random_sets(seed, n, universe, families=6, empty=2, copies=8):
@@ -290,3 +293,42 @@ def test_counts_by_key_stay_bounded_in_a_task(spark, monkeypatch):
     assert sorted(map(tuple, pairs.pair_counts(blocks).collect())) == want
     assert pairs.pair_values(blocks).where("metric = 'cosine'").agg(F.sum("n")).first()[0] == sum(n for a, _, _, n in want if a)
     assert pairs._counted(blocks, "sum").agg(F.sum("n")).first()[0] == sum(r[-1] for r in want)
+
+
+def test_one_row_of_equal_sets_without_moving_sets(spark):
+    """Ids that repeat or are missing, copies in several partitions: one row per distinct set, named by its least id."""
+    rows = [(5, [1, 2]), (3, [1, 2]), (3, [4]), (3, [4]), (None, [7]), (None, [1, 2]), (8, []), (9, []), (9, [2**30 - 1])]
+    written = cut(spark.createDataFrame(rows, "id long, bits array<int>").repartition(5))
+    named, firsts, sets = simjoin.written_sets(written)
+    want = sorted([(3, [1, 2]), (3, [4]), (None, [7]), (8, []), (9, [2**30 - 1])], key=str)
+    assert sorted(((r["rep"], r["bits"]) for r in sets.collect()), key=str) == want
+    assert sorted(((r["rep"], r["copies"]) for r in firsts.collect()), key=str) == sorted([(3, 3), (3, 2), (None, 1), (8, 2), (9, 1)], key=str)
+    assert named.count() == len(rows) and named.select("bits").distinct().count() == 5
+    none = simjoin.written_sets(cut(written.where("id < 0")))
+    assert none[2].collect() == [] and cluster.leader_cluster(written.where("id < 0"), "id").collect() == []
+
+
+def _size(top, part=""):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(top) for f in names if part in f)
+
+
+def test_clusters_leave_no_set_on_disk(spark):
+    """What is left beside the result are ids and digests, and shuffle files go with the stage they were for."""
+    rng = random.Random(40)
+    sets = [sorted(rng.sample(range(2**30), 400)) for _ in range(300)]
+    sets += [sorted({*s[:390], *rng.sample(range(2**30), 10)}) for s in sets[:100]] + sets[:50]
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    local = [str(d) for d in env.blockManager().diskBlockManager().localDirs()]
+    kept, shuffled = _size(shared), sum(_size(d, "shuffle_") for d in local)
+    for chunks in ({}, {"first_chunk": 50, "growth": 3, "one_chunk_matches": 0}):
+        out = cluster.leader_cluster(frame(spark, sets), "id", **chunks)
+        assert _size(shared) - kept < 4 * 400 * len(sets) / 4
+        assert out.select("leader_id").distinct().count() == 300
+        del out
+    for _ in range(50):
+        if sum(_size(d, "shuffle_") for d in local) - shuffled < 4 * 400 * len(sets) / 4:
+            break
+        time.sleep(0.2)
+    else:
+        raise AssertionError("shuffle files stay")
