@@ -332,3 +332,48 @@ def test_clusters_leave_no_set_on_disk(spark):
         time.sleep(0.2)
     else:
         raise AssertionError("shuffle files stay")
+
+
+@pytest.mark.parametrize("n, rows, square, narrow", [(60, 10, 4, False), (60, 25, 1024, False), (600, 200, 64, True)])
+def test_histograms_over_all_pairs(spark, monkeypatch, n, rows, square, narrow):
+    """No block keeps two rows apart; rows without an id or with the same id are rows as any other."""
+    monkeypatch.setattr(pairs, "WHOLE_ROWS", (rows, rows))
+    monkeypatch.setattr(pairs, "SQUARE_ROWS", square)
+    rng = random.Random(n)
+    sets = [sorted(rng.sample(range(200), rng.choice([20, 21]))) for _ in range(n)] if narrow else [*random_sets(24, n, 300), *[sorted(rng.sample(range(300), 290))] * 3]
+    want = all_pair_values(sets, len(sets), 300)
+    df = frame(spark, sets).withColumn("id", F.when(F.col("id") > 9, F.col("id") % 7))
+    blocks = pairs.pack_blocks(df, "id", n_bits=300, block_size=None)
+    hist = pairs.pair_histograms(blocks, 50).collect()
+    for m in measures.SET_MEASURES:
+        lo, hi = min(want[m]), max(want[m])
+        by_rule = np.bincount([min(int((v - lo) / (hi - lo) * 50), 49) for v in want[m]], minlength=50)
+        assert [x for _, x in sorted((r["bin"], r["n"]) for r in hist if r["metric"] == m)] == list(by_rule)
+    total = pairs.pair_counts(blocks).agg(F.sum("n")).first()[0]
+    assert total == len(sets) ** 2
+
+
+def test_ranges_that_the_first_look_misses(spark, monkeypatch):
+    """The extremes lie between sets of middle size: the bins are counted again over the true ranges."""
+    monkeypatch.setattr(pairs, "WHOLE_ROWS", (2, 2))
+    sets = [[0, 1], [0, 1], [0, 1, 2, *range(10, 30)], [0, 1, 2, *range(40, 60)], [3, *range(60, 84)], [0, 3, *range(100, 125)], [*range(0, 250, 1)], [*range(0, 251)]]
+    blocks = pairs.pack_blocks(frame(spark, sets), "id", n_bits=256, block_size=None)
+    want = all_pair_values(sets, len(sets), 256)
+    for kept in (pairs._found_ends, lambda rows, calls=[]: calls.append(1) or ({m: (0.25, 0.5) for m in want} if len(calls) == 1 else found(rows))):
+        found = pairs._found_ends
+        monkeypatch.setattr(pairs, "_found_ends", kept)
+        hist = pairs.pair_histograms(blocks, 20).collect()
+        monkeypatch.setattr(pairs, "_found_ends", found)
+        for m, values in want.items():
+            lo, hi = min(values), max(values)
+            by_rule = np.bincount([min(int((v - lo) / (hi - lo) * 20), 19) for v in values], minlength=20)
+            assert [x for _, x in sorted((r["bin"], r["n"]) for r in hist if r["metric"] == m)] == list(by_rule)
+
+
+def test_all_documents_meet_in_pair_histograms(spark, tmp_path):
+    from catalog import registry, similar  # noqa: F401
+
+    rows = [(i, f"w{i % 7} x{i % 11} y{i % 3} z{i % 5}") for i in range(1030)]  # more than a block of 1,024
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = registry.QUERIES["pair_histograms"](spark, str(tmp_path)).groupBy("metric").agg(F.sum("n").alias("n")).collect()
+    assert {r["n"] for r in found} == {1030**2}
